@@ -19,7 +19,7 @@ from cuestream.llm.common import checkpointed, map_batches, table
 CAPACITY = 1024
 END_ID = 2
 #: Rounds of multiplicative weights; what they leave is packed by best fit.
-ROUNDS = 1500
+ROUNDS = 150
 #: The share of the scarcest length's demand that one round may serve, and how fast a length that
 #: has been served loses weight.
 STEP, RATE = 0.25, 0.5
@@ -92,7 +92,8 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     """Configurations (length: how many) with how many sequences use each; every piece is in one.
 
     The covering program asks for each length's demand with as few sequences as possible. Its dual
-    prices begin at the lengths and lose weight by the share of the demand that has been served;
+    prices begin at the lengths, long ones somewhat dearer as they combine with fewer others, and lose
+    weight by the share of the demand that has been served;
     each round the knapsack finds the dearest configuration and serves a step of it. Serving whole
     copies only, within what is left, rounds the solution as it grows; lengths left over when the
     rounds are up, or when every copy is a single one, are packed by best fit.
@@ -107,7 +108,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
             break
         lengths = np.array(sorted(left))
         served = np.array([1 - left[n] / demand[n] for n in sorted(left)])
-        config = fill(price(lengths, lengths * np.exp(-RATE * served), capacity), left, capacity)
+        config = fill(price(lengths, lengths * (1 + lengths / capacity) * np.exp(-RATE * served), capacity), left, capacity)
         copies = min(left[n] // k for n, k in config.items())
         step = max(1, int(min(STEP * demand[n] / k for n, k in config.items())))
         use = min(copies, step)
