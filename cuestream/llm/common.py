@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,11 +49,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; they need not have it installed."""
+    global _shipped
+    if _shipped != spark.sparkContext.applicationId:
+        root = pathlib.Path(__file__).parents[1]
+        folder = tempfile.mkdtemp()  # served by the driver for as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, str(source.relative_to(root.parent)))
+        spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+        _shipped = spark.sparkContext.applicationId
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to column dictionaries; casts them to schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
