@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cuestream.llm import chat_format, language_id, packing, quality, sharding, token_counts
+from cuestream.llm import chat_format, decontamination, language_id, packing, quality, sharding, token_counts
 
-MODULES = (token_counts, language_id, packing, chat_format, sharding, quality)
+MODULES = (token_counts, language_id, packing, chat_format, sharding, decontamination, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
