@@ -75,3 +75,19 @@ def inside(at: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, bool)
     left = np.repeat(at[1:], np.diff(at))[: total - n + 1] - np.arange(total - n + 1)
     return left >= n
+
+
+#: Words between white space without regard to case.
+lower_words = Coder(str.split, lambda w: xxhash.xxh3_64_intdigest(w.lower()))
+
+
+def slices(texts: list, size: int = 4 << 20):
+    """Spans of texts of about so many characters in all, so that their arrays stay small."""
+    start, total = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and total + len(text) > size:
+            yield start, i
+            start, total = i, 0
+        total += len(text)
+    if start < len(texts):
+        yield start, len(texts)
