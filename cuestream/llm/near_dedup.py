@@ -151,6 +151,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classed.union(alone).withColumnRenamed("doc_id", id_col)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their group, with all their columns; of repeated rows of one id
+    one stays. Rows whose id is null, or whose text is null or without words, all stay."""
+    classed = checkpointed(near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()))
+    repeated = classed.groupBy(id_col).count().where("count > 1").select(id_col)
+    later = classed.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
+    kept = docs.join(later, id_col, "left_anti").select(docs.columns)
+    if not repeated.take(1):
+        return kept
+    worded = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0
+    several = kept.join(repeated, id_col, "left_semi").where(worded).select(docs.columns)
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).union(several.dropDuplicates([id_col])).union(kept.join(repeated, id_col, "left_semi").where(~worded).select(docs.columns))
+
+
 def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
