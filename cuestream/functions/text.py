@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters, patterns and limits that results depend on.
 HAN = r"㐀-鿿"
@@ -27,7 +28,7 @@ EPISODE_PATTERNS = (
 ASS_FROM, ASS_TO = "\\{}", "＼｛｝"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -140,7 +141,7 @@ def stamp(value: Column, ass: bool = False) -> Column:
 
 def ass_text(text: Column) -> Column:
     """Text that can't be taken for an ASS tag."""
-    return F.regexp_replace(F.translate(text, ASS_FROM, ASS_TO), "\n", r"\\\\N")
+    return F.regexp_replace(F.translate(text, ASS_FROM, ASS_TO), "\n", r"\\N")
 
 
 def video_stem(source: Column) -> Column:
