@@ -173,7 +173,8 @@ def safety_top_bottom(band: Column, automatic: Column, font_height: Column) -> t
     height, width = band[3] - band[1], band[2] - band[0]
     margin = F.least(F.lit(0.018), F.greatest(F.lit(0.008), height * 0.15))
     as_is = automatic | (F.coalesce(font_height, F.lit(0.0)) != 0) | (height >= 0.25) | (width < 0.35)
-    return F.when(as_is, band[1]).otherwise(F.greatest(F.lit(0.0), band[1] - margin)), F.when(as_is, band[3]).otherwise(F.least(F.lit(1.0), band[3] + margin * 0.5))
+    top, bottom = F.greatest(F.lit(0.0), band[1] - margin), F.least(F.lit(1.0), band[3] + margin * 0.5)
+    return F.when(band.isNotNull(), F.when(as_is, band[1]).otherwise(top)), F.when(band.isNotNull(), F.when(as_is, band[3]).otherwise(bottom))
 
 
 def scale(requested: Column, width: Column, engine: Column, languages: Column) -> Column:

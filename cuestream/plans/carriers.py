@@ -78,11 +78,11 @@ jobs AS (
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as cues with a layout: a stream for each ship year and supplier; coordinates in hundredths."""
     stream = F.col("l_suppkey") * 10000 + F.year("l_shipdate")
-    odd = F.col("l_orderkey") % 17 == 0
+    odd, beside = F.col("l_orderkey") % 17 == 0, F.col("l_orderkey") % 17 < 4
     return table(spark, sf_dir, "lineitem").select(
         stream.alias("stream_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), (F.col("l_orderkey") % 5000 * 10).alias("start_cs"),
         (F.col("l_orderkey") % 5000 * 10 + 20 + F.col("l_quantity").cast("long")).alias("end_cs"), F.col("l_quantity").cast("long").alias("frames"),
-        (F.when(odd, F.lit(80)).otherwise(50 + F.col("l_partkey") % 5)).cast("long").alias("x"), (F.when(odd, F.lit(30)).otherwise(88 + F.col("l_partkey") % 4)).cast("long").alias("y"),
+        (F.when(odd, F.lit(80)).when(beside, F.lit(70)).otherwise(50 + F.col("l_partkey") % 5)).cast("long").alias("x"), (F.when(beside, F.lit(30)).otherwise(88 + F.col("l_partkey") % 4)).cast("long").alias("y"),
         (F.when(odd & (F.col("l_partkey") % 2 == 0), F.lit(20)).otherwise(10 + F.col("l_partkey") % 3)).cast("long").alias("h"),
     )
 
@@ -91,8 +91,8 @@ LAYOUTS = """
 layouts AS (
   SELECT l_suppkey * 10000 + year(l_shipdate) AS stream_id, l_orderkey * 10 + l_linenumber AS event_id,
     l_orderkey % 5000 * 10 AS start_cs, l_orderkey % 5000 * 10 + 20 + CAST(l_quantity AS BIGINT) AS end_cs, CAST(l_quantity AS BIGINT) AS frames,
-    CAST(CASE WHEN l_orderkey % 17 = 0 THEN 80 ELSE 50 + l_partkey % 5 END AS BIGINT) AS x,
-    CAST(CASE WHEN l_orderkey % 17 = 0 THEN 30 ELSE 88 + l_partkey % 4 END AS BIGINT) AS y,
+    CAST(CASE WHEN l_orderkey % 17 = 0 THEN 80 WHEN l_orderkey % 17 < 4 THEN 70 ELSE 50 + l_partkey % 5 END AS BIGINT) AS x,
+    CAST(CASE WHEN l_orderkey % 17 < 4 THEN 30 ELSE 88 + l_partkey % 4 END AS BIGINT) AS y,
     CAST(CASE WHEN l_orderkey % 17 = 0 AND l_partkey % 2 = 0 THEN 20 ELSE 10 + l_partkey % 3 END AS BIGINT) AS h
   FROM lineitem
 )"""
