@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from cuestream.llm.wordcodes import inside, lower_words, mix, slices, windows
 SHINGLE, SIMILARITY = 5, 0.8
 #: At the similarity asked for, 1 - (1 - 0.8**5)**24 = 0.9999 of the pairs share a band.
 BANDS, ROWS = 24, 5
+#: What is compared in one task: two blocks of so many nodes and bytes of text at most.
+BLOCK_NODES, BLOCK_BYTES = 512, 32 << 20
 
 
 def shingles(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,6 +110,58 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(pairs.join(of_v, "v").join(of_u, "u"), check, "u long, v long")
 
 
+def _links_of(texts: list[str], component: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of texts that are similar and connect different components, as few as connect them."""
+    _, _, owner, hashes, _ = shingles(texts)
+    size = np.bincount(owner, minlength=len(texts))
+    _, column, seen = np.unique(hashes, return_inverse=True, return_counts=True)
+    common = seen[column] > 1
+    owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
+    shared = np.zeros((len(texts), len(texts)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        part = (column >= low) & (column < low + 4096)
+        has = np.zeros((len(texts), 4096), np.float32)
+        has[owner[part], column[part] - low] = 1
+        shared += has @ has.T
+    alike = (shared >= SIMILARITY * (size[:, None] + size[None, :] - shared)) & (component[:, None] != component[None, :])
+    root = {int(c): int(c) for c in component}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike, 1))), strict=True):
+        a, b = find(int(component[i])), find(int(component[j]))
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out
+
+
+def _links_in_buckets(at: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between different components of a bucket (columns bucket, node, component).
+
+    Buckets of more than a block of nodes, or of bytes, are dealt into blocks that meet two by two, so no
+    task holds more than two blocks; pairs are compared within a task and never sent.
+    """
+    sized = at.join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    blocks = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(41), "node"), F.col("blocks"))
+    dealt = at.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.where("own <> other or blocks = 1")
+    dealt = dealt.select("bucket", "node", "component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy()
+        found = _links_of(pdf["text"].tolist(), pdf["component"].to_numpy()) if pdf["component"].nunique() > 1 else []
+        return pd.DataFrame({"u": node[[i for i, _ in found]], "v": node[[j for _, j in found]]}, dtype="int64")
+
+    return dealt.join(texts, "node").groupBy("bucket", "one", "two").applyInPandas(link, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id_col, class_id (the least id of its group): one row for each row of docs.
 
@@ -118,8 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result.
 
     In every bucket of a band all nodes are compared with the least, which connects large groups without
-    their pairs; then nodes of a bucket that are still in different components are compared with each
-    other, so no link is lost.
+    their pairs; then buckets whose nodes are still in different components are compared as a whole, block
+    by block, so no link is lost.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(_signed(rows))
@@ -140,10 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     at = checkpointed(at.join(mixed, "bucket"))
     if at.take(1):
-        other = at.select("bucket", F.col("node").alias("v"), F.col("component").alias("other"))
-        again = at.join(other, "bucket").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("other")))
-        again = again.select(F.col("node").alias("u"), "v").distinct().join(pairs, ["u", "v"], "left_anti")
-        more = checkpointed(_verified(again, texts))
+        more = checkpointed(_links_in_buckets(at, texts))
         if more.take(1):
             found = checkpointed(components(links.union(more)))
     classed = keyed.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
