@@ -117,23 +117,27 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> Ensemb
     kept = list(rules)
     if not kept:
         return Ensemble(bias, [])
-    r = np.stack([_holds(rule, x, names) for rule in kept], axis=1).astype(float)
-    weights, ahead, momentum = np.zeros(len(kept)), np.zeros(len(kept)), 1.0
+    r = np.zeros((len(y), len(kept)), np.float32)
+    for k, rule in enumerate(kept):
+        r[:, k] = _holds(rule, x, names)
+    weights, ahead, momentum = np.zeros(len(kept), np.float32), np.zeros(len(kept), np.float32), 1.0
     bias_ahead = bias
-    # The step is one over a bound of the curvature: the greatest eigenvalue, by power iteration.
-    v = np.ones(len(kept) + 1)
-    full = np.c_[r, np.ones(len(y))]
+    # The step is one over a bound of the curvature: the greatest eigenvalue, by power iteration, of the rules and
+    # the bias.
+    v, v_bias = np.ones(len(kept), np.float32), 1.0
     for _ in range(30):
-        v = full.T @ (full @ v)
-        v /= np.linalg.norm(v)
-    step = 4 * len(y) / float(np.linalg.norm(full @ v) ** 2) * 0.95
+        out = r @ v + v_bias
+        v, v_bias = r.T @ out, float(out.sum())
+        norm = float(np.sqrt(v @ v + v_bias**2))
+        v, v_bias = v / norm, v_bias / norm
+    step = 4 * len(y) / float(np.linalg.norm(r @ v + v_bias) ** 2) * 0.95
     for _ in range(STEPS):
-        error = 1 / (1 + np.exp(-np.clip(r @ ahead + bias_ahead, -50, 50))) - y
+        error = (1 / (1 + np.exp(-np.clip(r @ ahead + bias_ahead, -50, 50))) - y).astype(np.float32)
         moved = ahead - step * (r.T @ error) / len(y)
-        new = np.sign(moved) * np.maximum(np.abs(moved) - step * LASSO, 0)
+        new = (np.sign(moved) * np.maximum(np.abs(moved) - step * LASSO, 0)).astype(np.float32)
         new_bias = bias_ahead - step * float(error.mean())
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead, bias_ahead = new + (momentum - 1) / grown * (new - weights), new_bias + (momentum - 1) / grown * (new_bias - bias)
+        ahead, bias_ahead = (new + (momentum - 1) / grown * (new - weights)).astype(np.float32), new_bias + (momentum - 1) / grown * (new_bias - bias)
         weights, bias, momentum = new, new_bias, grown
     return Ensemble(bias, [(rule, float(w)) for rule, w in zip(kept, weights, strict=True) if w])
 
