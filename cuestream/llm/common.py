@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import pathlib
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -43,7 +45,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df once, compressed, in the shared folder and read it back."""
+    """Write df once, compressed, in the shared folder and read it back. Unlike a checkpoint, the table read back
+    does not keep the shuffle files of its making alive (see release)."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -63,6 +66,13 @@ def ship(spark: SparkSession) -> None:
         _shipped = spark.sparkContext.applicationId
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs whose plans nothing refers to any more; it finds
+    them when the driver's garbage is collected, which may be long after they are of use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to column dictionaries; casts them to schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuestream.llm.common import checkpointed, map_batches, ship, table, written
+from cuestream.llm.common import map_batches, release, ship, table, written
 from cuestream.llm.wordcodes import BASE, byte_words, inside, mix, slices, windows
 
 #: Words of a window.
@@ -106,8 +107,13 @@ def _texts(batch: pa.RecordBatch):
         yield ids.slice(a, b - a), texts[a:b]
 
 
-#: Marks rows that a slice of the texts has settled by itself.
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
+def prints_of(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each text's words."""
+    return np.array([xxhash.xxh3_64_intdigest(codes[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], np.uint64).view(np.int64)
+
+
+#: Marks windows that a slice of the texts has settled by itself.
+LEAST = -(1 << 63)
 
 
 def _spread(n: int, ids: np.ndarray) -> np.ndarray:
@@ -127,74 +133,75 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(base: DataFrame) -> DataFrame:
-    """name, doc_id, high, first, n: n windows from the first on have the anchor.
+    """name, of, span: windows from a first place on that have the anchor, as place * 16 + number.
 
-    Before the shuffle, a slice's spans of a name that two of its documents have are settled: they
-    go on under keys of their own with high MOST, and one row without windows stands for the name,
-    from the least id to the highest. So what many documents share is not dealt to one task."""
+    `of` is a hash of the document's words and stands for it here: copies share it, so a name that only copies have is not shared.
+    Before the shuffle, a slice's spans of a name that two of its texts have are settled: they go on
+    under keys of their own with a negative span, and two rows without windows stand for the
+    name. So what many documents share is not dealt to one task."""
 
     def find(batch: pa.RecordBatch):
-        for ids, texts in _texts(batch):
-            ids = ids.to_numpy()
+        for _, texts in _texts(batch):
             codes, at = byte_words.flat(texts)
+            prints = prints_of(codes, at)
             place, name = anchors(codes, at)
             begins = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (place[1:] != place[:-1] + 1)]) if len(place) else np.zeros(0, np.int64)
+            # No more than 13 windows share an anchor, but for names that repeat: those go on in parts.
+            ends = np.r_[begins[1:], len(place)]
+            for k in np.flatnonzero(ends - begins > WINDOW):
+                begins = np.r_[begins, np.arange(begins[k] + WINDOW, ends[k], WINDOW)]
+            begins.sort()
             owner = np.searchsorted(at, place[begins], "right") - 1
-            first, n, name, doc = place[begins] - at[owner], np.diff(np.r_[begins, len(place)]), name[begins].view(np.int64), ids[owner]
-            order, starts = _groups(doc, name)
-            low, high = doc[order][starts], doc[order][np.r_[starts[1:], len(order)] - 1] if len(order) else doc
+            span, name = (place[begins] - at[owner]) * 16 + np.diff(np.r_[begins, len(place)]), name[begins].view(np.int64)
+            of = prints[owner]
+            order, starts = _groups(of, name)
+            low, high = of[order][starts], of[order][np.r_[starts[1:], len(order)] - 1] if len(order) else of
             local = low < high
             settled = np.zeros(len(order), bool)
             settled[order] = np.repeat(local, np.diff(np.r_[starts, len(order)]))
+            marks = name[order][starts][local]
             yield {
-                "name": np.r_[np.where(settled, _spread(len(doc), doc), name), name[order][starts][local]], "doc_id": np.r_[doc, low[local]],
-                "high": np.r_[np.where(settled, MOST, doc), high[local]], "first": np.r_[first, np.zeros(local.sum(), np.int64)], "n": np.r_[n, np.zeros(local.sum(), np.int64)],
+                "name": np.r_[np.where(settled, _spread(len(of), of), name), marks, marks], "of": np.r_[of, low[local], high[local]], "span": np.r_[np.where(settled, -span, span), np.zeros(2 * len(marks), np.int64)],
             }
 
-    return map_batches(base, find, "name long, doc_id long, high long, first int, n int")
+    return map_batches(base, find, "name long, of long, span long")
 
 
 def _windows(candidates: DataFrame) -> DataFrame:
-    """doc_id, place, w1, w2, low: the words' hash of every window whose anchor is shared.
+    """doc_id, of, place, w1, w2, low: the words' hash of every window whose anchor is shared.
 
     A slice settles windows that a document of its own with a smaller id has: low is LEAST, and
     they go on under a key of their own. In all others low is the id."""
 
     def find(batch: pa.RecordBatch):
-        spans, row = batch["spans"], 0
+        spans, of, row = batch["spans"], batch["of"].to_numpy(), 0
         for ids, texts in _texts(batch):
             ids = ids.to_numpy()
             codes, at = byte_words.flat(texts)
-            one, two, valid = windows(codes, WINDOW), windows(codes, WINDOW, 1), inside(at, WINDOW)
-            part = spans.slice(row, len(texts))
+            one, two, own = windows(codes, WINDOW), windows(codes, WINDOW, 1), prints_of(codes, at)
+            part, meant = spans.slice(row, len(texts)), of[row : row + len(texts)]
             row += len(texts)
-            n, fields = part.value_lengths().to_numpy(), part.flatten()
-            first, count = (fields.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-            begin = first + np.repeat(at[:-1], n)
-            place = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            n, (first, count) = part.value_lengths().to_numpy(), np.divmod(part.flatten().to_numpy(), 16)
+            place = np.repeat(first + np.repeat(at[:-1], n), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             owner = np.repeat(np.repeat(np.arange(len(texts)), n), count)
-            # Rows with one id share their spans; what lies beyond a shorter text is dropped here.
-            good = place < np.minimum(at[owner + 1], len(valid))
+            # Rows with one id meet each other's spans; only a text's own are its windows.
+            good = (own == meant)[owner]
             place, owner = place[good], owner[good]
-            place, owner = place[valid[place]], owner[valid[place]]
             doc, w1, w2 = ids[owner], one[place].view(np.int64), two[place].view(np.int64)
             order, starts = _groups(doc, w1, w2)
             least = np.zeros(len(order), np.int64)
             least[order] = np.repeat(doc[order][starts], np.diff(np.r_[starts, len(order)]))
             settled = least < doc
-            yield {"doc_id": doc, "place": place - at[owner], "w1": w1, "w2": np.where(settled, _spread(len(doc), doc), w2), "low": np.where(settled, LEAST, doc)}
+            yield {
+                "doc_id": doc, "of": own[owner], "place": place - at[owner], "w1": np.where(settled, 0, w1), "w2": np.where(settled, _spread(len(doc), doc), w2), "low": np.where(settled, LEAST, doc),
+            }
 
-    return map_batches(candidates, find, "doc_id long, place int, w1 long, w2 long, low long")
+    return map_batches(candidates, find, "doc_id long, of long, place int, w1 long, w2 long, low long")
 
 
-def kept_words(text: bytes, places: np.ndarray, hashes: np.ndarray) -> list[bytes]:
-    """Words that no window covers that begins at one of the places and has the hash given for it."""
+def kept_words(text: bytes, places: np.ndarray) -> list[bytes]:
+    """Words that no window covers that begins at one of the places."""
     words = text.split()
-    codes, at = byte_words.flat([text])
-    found = windows(codes, WINDOW)
-    good = places < len(found)
-    places, hashes = places[good], hashes[good]
-    places = places[found[places].view(np.int64) == hashes]
     cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, places, 1)
     np.add.at(cover, places + WINDOW, -1)
@@ -202,30 +209,42 @@ def kept_words(text: bytes, places: np.ndarray, hashes: np.ndarray) -> list[byte
 
 
 def _copies(base: DataFrame) -> DataFrame:
-    """doc_id, n_words, sha256 (of the words), copy: whether every row of its id has the words of a smaller id."""
+    """doc_id, n_words, sha256 and of (hashes of the words), copy (whether a smaller id has the words)."""
 
     def digest(batch: pa.RecordBatch):
         for ids, texts in _texts(batch):
             words = [t.split() for t in texts]
-            yield {"doc_id": ids, "n_words": [len(w) for w in words], "sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]}
+            yield {"doc_id": ids, "n_words": [len(w) for w in words], "sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words], "of": prints_of(*byte_words.flat(texts))}
 
-    digests = written(map_batches(base, digest, "doc_id long, n_words long, sha256 string"))
-    least = digests.groupBy("sha256").agg(F.min("doc_id").alias("of"))
-    of_ids = digests.join(least, "sha256").groupBy("doc_id").agg(F.min(F.col("of") < F.col("doc_id")).alias("copy"))
-    return checkpointed(digests.join(of_ids, "doc_id"))
+    digests = written(map_batches(base, digest, "doc_id long, n_words long, sha256 string, of long"))
+    first = digests.groupBy("sha256").agg(F.min("doc_id").alias("first"))
+    return written(digests.join(first, "sha256").select("doc_id", "n_words", "sha256", "of", (F.col("first") < F.col("doc_id")).alias("copy")))
 
 
-def repeats(base: DataFrame, digests: DataFrame) -> DataFrame:
-    """doc_id, places (place and w1 of each window that also begins in a document with a smaller id);
-    only documents that have some and are no copies, all of whose windows are repeats."""
-    spans = _spans(base).join(digests.where("copy").select(F.col("doc_id").alias("copied")).distinct(), F.col("doc_id") == F.col("copied"), "left_anti")
+def _candidates(base: DataFrame, digests: DataFrame) -> DataFrame:
+    """doc_id, of, spans: where the anchors of its windows are shared; without documents that are copies."""
     of_name = W.partitionBy("name")
-    shared = spans.select("doc_id", "first", "n", F.min("doc_id").over(of_name).alias("low"), F.max("high").over(of_name).alias("high")).where("low < high and n > 0")
-    lists = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    found = _windows(base.join(lists, "doc_id"))
+    shared = (F.min("of").over(of_name) < F.max("of").over(of_name)).alias("shared")
+    spans = _spans(base).select("of", "span", shared).where("span < 0 or (shared and span > 0)")
+    lists = spans.groupBy("of").agg(F.array_distinct(F.collect_list(F.abs("span"))).alias("spans"))
+    return written(digests.where("not copy").select("doc_id", "of").distinct().join(lists, "of"))
+
+
+def repeats(base: DataFrame, digests: DataFrame) -> DataFrame:
+    """doc_id, of, places: where windows begin that also begin in a document with a smaller id; texts that have
+    some and are no copies, all of whose windows are repeats."""
+    lists = _candidates(base, digests)
+    release(base.sparkSession)
     least = F.min("low").over(W.partitionBy("w1", "w2"))
-    later = found.withColumn("least", least).where("least < doc_id")
-    return checkpointed(later.groupBy("doc_id").agg(F.collect_list(F.struct("place", "w1")).alias("places")))
+    later = _windows(base.join(lists, "doc_id")).withColumn("least", least).where("least < doc_id")
+    places = written(later.groupBy("doc_id", "of").agg(F.collect_list("place").alias("places")))
+    del later
+    release(base.sparkSession)
+    return places
+
+
+def _by_id(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("of", "places")).alias("found"))
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -234,15 +253,13 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _cut(batch: pa.RecordBatch, text_col: str = "text"):
-    """The texts of a batch as bytes, and of each the words that stay (None: all of them)."""
-    for text, places in zip(batch[text_col], batch["places"], strict=True):
+    """Of each text of a batch, as bytes, the words that stay; None if it is not among its id's found texts."""
+    for text, found in zip(batch[text_col], batch["found"].to_pylist(), strict=True):
         text = text.as_py()
         text = text.encode() if isinstance(text, str) else text or b""
-        if places.as_py() is None:
-            yield text, None
-        else:
-            fields = places.values
-            yield text, kept_words(text, fields.field(0).to_numpy().astype(np.int64), fields.field(1).to_numpy())
+        own = int(prints_of(*byte_words.flat([text]))[0]) if found else None
+        mine = next((f for f in found or () if f["of"] == own), None)
+        yield text, None if mine is None else [] if mine["places"] is None else kept_words(text, np.asarray(mine["places"], np.int64))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,17 +280,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = repeats(base, digests)
 
     def trim(batch: pa.RecordBatch):
-        out = {"doc_id": batch["doc_id"], "n_words": [], "n_removed": [], "kept_sha256": []}
-        for text, words in _cut(batch):
-            n = len(text.split())
-            out["n_words"].append(n)
-            out["n_removed"].append(n - len(words))
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
+        out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": []}
+        for doc_id, (text, words) in zip(batch["doc_id"].to_pylist(), _cut(batch), strict=True):
+            if words is not None:
+                n = len(text.split())
+                for name, x in zip(out, (doc_id, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()), strict=True):
+                    out[name].append(x)
         yield out
 
-    cut = map_batches(base.join(repeated, "doc_id"), trim, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut = map_batches(base.join(_by_id(repeated), "doc_id"), trim, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
-    whole = digests.join(repeated.select("doc_id"), "doc_id", "left_anti").select(
+    whole = digests.join(repeated.select("doc_id", "of"), ["doc_id", "of"], "left_anti").select(
         "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha256")).alias("kept_sha256")
     )
     return cut.union(whole).select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias(id_col), "n_words", "n_removed", "kept_sha256")
@@ -285,18 +302,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = _base(docs, id_col, text_col)
     digests = _copies(base)
     repeated = repeats(base, digests)
-    gone = digests.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("doc_id", F.lit(True).alias("gone")).distinct()
+    copies = digests.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("doc_id", "of", F.lit(None).cast("array<int>").alias("places")).distinct()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    changed = repeated.join(gone, "doc_id", "full").select(F.col("doc_id").alias("__id"), "places", "gone")
+    changed = _by_id(repeated.union(copies)).withColumnRenamed("doc_id", "__id")
     joined = docs.withColumn("__id", key).join(changed, "__id", "left").drop("__id")
     order = docs.columns
     at = order.index(text_col)
 
     def trim(batches):
         for batch in batches:
-            texts = []
-            for (text, words), gone, old in zip(_cut(batch, text_col), batch["gone"].to_pylist(), batch[text_col], strict=True):
-                texts.append("" if gone and len(text.split()) >= WINDOW else old.as_py() if words is None else b" ".join(words).decode())
+            texts = [old.as_py() if words is None else b" ".join(words).decode() for (_, words), old in zip(_cut(batch, text_col), batch[text_col], strict=True)]
             columns = [batch[c] for c in order]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=order)
