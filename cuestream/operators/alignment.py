@@ -56,7 +56,7 @@ def align(reference: list[dict], output: list[dict]) -> list[tuple[int | None, i
             cost[i, j] = choices[move[i, j]]
     pairs, i, j = [], n, m
     while i or j:
-        step = move[i, j] if i and j else (1 if i else 2)
+        step = int(move[i, j]) if i and j else (1 if i else 2)
         i, j = i - (step != 2), j - (step != 1)
         pairs.append((i if step != 2 else None, j if step != 1 else None))
     return pairs[::-1]
