@@ -114,7 +114,12 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> Ensemb
         leaves = [p for p in paths if not any(q[0][: len(p[0])] == p[0] and q is not p for q in paths)]
         for rule, mean in leaves:
             margin[_holds(rule, x, names)] += mean
-    kept = list(rules)
+    # Rules that hold on the same rows are one; the first, from an earlier tree, stays.
+    distinct = {}
+    for rule in rules:
+        distinct.setdefault(np.packbits(_holds(rule, x, names)).tobytes(), rule)
+    kept = list(distinct.values())
+    del distinct
     if not kept:
         return Ensemble(bias, [])
     r = np.zeros((len(y), len(kept)), np.float32)
