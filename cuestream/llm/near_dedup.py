@@ -68,9 +68,9 @@ def _signed(rows: DataFrame) -> DataFrame:
     def sign(batch: pa.RecordBatch):
         ids, texts = batch["doc_id"], [t.as_py() or "" for t in batch["text"]]
         for a, b in slices(texts):
-            codes, at, owner, hashes, counts = shingles(texts[a:b])
-            # A shingle that is said n times weighs 1 + log n.
-            signature = prob_min_hash(owner, hashes, 1 + np.log(counts), b - a, BANDS * ROWS)
+            codes, at, owner, hashes, _ = shingles(texts[a:b])
+            # Every shingle weighs 1: registers agree with the chance of the similarity that links are verified by.
+            signature = prob_min_hash(owner, hashes, np.ones(len(hashes)), b - a, BANDS * ROWS)
             bands = windows(signature.ravel(), ROWS)[::ROWS].reshape(b - a, BANDS) if b > a else np.zeros((0, BANDS), np.uint64)
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             prints = [xxhash.xxh3_128_digest(codes[i:j].tobytes()) if j > i else None for i, j in zip(at, at[1:], strict=False)]

@@ -191,6 +191,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_repeat_a_line(spark):
+    """Pairs of Jaccard 0.8 or more, one of which says a line once and the other 200 times."""
+    rows = []
+    for k in range(0, 120, 2):
+        words, line = " ".join(f"t{k}w{i}" for i in range(64)), " ".join(f"t{k}l{i}" for i in range(10))
+        rows += [(k, f"{words} {line}"), (k + 1, words + f" {line}" * 200)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows} == classes(shingle_sets(rows))
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     r = np.random.default_rng(2)
     x, y = r.integers(1, 9, 60).astype(float), r.integers(1, 9, 60).astype(float)
