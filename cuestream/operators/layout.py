@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,7 +115,7 @@ def outliers(events: DataFrame, learned: DataFrame, weak: Column) -> DataFrame:
     return e.withColumn("reason", F.when(found, "scene_text_layout"))
 
 
-def track_closure(events: DataFrame, rounds: int = 20) -> DataFrame:
+def track_closure(events: DataFrame) -> DataFrame:
     """Kept events off the usual band, near in place and time to an excluded one, are excluded too
     (`scene_text_track`), until nothing changes. events: outliers() with start_cs and end_cs.
 
@@ -123,13 +125,13 @@ def track_closure(events: DataFrame, rounds: int = 20) -> DataFrame:
     bucket = 1000
     abnormal = (F.abs(F.col("x") - F.col("lx")) > 12) | (F.col("y") < F.col("low") - 6) | (F.col("y") > F.col("high") + 6)
     state = checkpointed(events)
-    new = state.where("reason is not null")
-    for _ in range(rounds):
+    new, left, found = state.where("reason is not null"), state.where(F.col("reason").isNull() & abnormal), []
+    while True:
         n = new.select(
             F.col("stream_id").alias("n_stream"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("start_cs").alias("n_start"), F.col("end_cs").alias("n_end"),
             F.explode(F.sequence(F.floor((F.col("start_cs") - 35) / bucket), F.floor((F.col("end_cs") + 35) / bucket))).alias("n_bucket"),
         )
-        open_ = state.where(F.col("reason").isNull() & abnormal).select("stream_id", "event_id", "x", "y", "start_cs", "end_cs", F.explode(F.sequence(F.floor(F.col("start_cs") / bucket), F.floor(F.col("end_cs") / bucket))).alias("bucket"))
+        open_ = left.select("stream_id", "event_id", "x", "y", "start_cs", "end_cs", F.explode(F.sequence(F.floor(F.col("start_cs") / bucket), F.floor(F.col("end_cs") / bucket))).alias("bucket"))
         near = (
             (F.col("stream_id") == F.col("n_stream")) & (F.col("bucket") == F.col("n_bucket")) & (F.abs(F.col("x") - F.col("nx")) <= 12) & (F.abs(F.col("y") - F.col("ny")) <= 12)
             & (F.col("start_cs") - F.col("n_end") <= 35) & (F.col("n_start") - F.col("end_cs") <= 35)
@@ -137,10 +139,15 @@ def track_closure(events: DataFrame, rounds: int = 20) -> DataFrame:
         caught = checkpointed(open_.join(n, near, "left_semi").select("stream_id", "event_id").distinct())
         if not caught.take(1):
             break
-        marked = state.join(caught.withColumn("__hit", F.lit(True)), ["stream_id", "event_id"], "left")
-        state = checkpointed(marked.withColumn("reason", F.when(F.col("__hit"), "scene_text_track").otherwise(F.col("reason"))).drop("__hit"))
-        new = state.join(caught, ["stream_id", "event_id"], "left_semi")
-    return state
+        found.append(caught)
+        # Semi and anti joins only: estimated sizes of other joins multiply from round to round.
+        new = left.join(caught, ["stream_id", "event_id"], "left_semi")
+        left = checkpointed(left.join(caught, ["stream_id", "event_id"], "left_anti"))
+    if not found:
+        return state
+    hits = reduce(DataFrame.union, found).withColumn("__hit", F.lit(True))
+    marked = state.join(hits, ["stream_id", "event_id"], "left")
+    return checkpointed(marked.withColumn("reason", F.when(F.col("__hit"), "scene_text_track").otherwise(F.col("reason"))).drop("__hit"))
 
 
 def renumber(events: DataFrame) -> DataFrame:

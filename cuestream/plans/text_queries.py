@@ -111,7 +111,7 @@ def scene_track_closure(spark, sf_dir):
 
 
 def renumbered_events(spark, sf_dir):
-    return L.renumber(_outliers(spark, sf_dir)).select("stream_id", "event_id", "id")
+    return L.renumber(L.track_closure(_outliers(spark, sf_dir))).select("stream_id", "event_id", "id")
 
 
 def robust_typical_height(spark, sf_dir):
