@@ -29,3 +29,9 @@ def test_renumbered_events_leave_out_tracks(spark, monkeypatch):
     got = {r.event_id: r.id for r in text_queries.renumbered_events(spark, SF).collect()}
     assert "scene_text_track" in caught.values()
     assert got == {e: i for i, e in enumerate([*range(12), 52], 1)}
+
+
+def test_restore_removed_reads_all_videos(spark, monkeypatch):
+    made = spark.range(1, 1001).select("id", F.concat(F.lit("/v/"), F.col("id").cast("string")).alias("source"))
+    monkeypatch.setattr(job_queries, "videos", lambda spark, sf_dir: made)
+    assert sorted((r.id, r.pos) for r in job_queries.restore_removed(spark, SF).collect()) == [(i, i - 1) for i in range(1, 1001)]
