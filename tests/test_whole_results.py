@@ -35,3 +35,31 @@ def test_restore_removed_reads_all_videos(spark, monkeypatch):
     made = spark.range(1, 1001).select("id", F.concat(F.lit("/v/"), F.col("id").cast("string")).alias("source"))
     monkeypatch.setattr(job_queries, "videos", lambda spark, sf_dir: made)
     assert sorted((r.id, r.pos) for r in job_queries.restore_removed(spark, SF).collect()) == [(i, i - 1) for i in range(1, 1001)]
+
+
+def test_missing_in_range_knows_all_jobs(spark):
+    rows = jobs(spark, SF).select("season", "episode").toPandas()
+    want = {(s, e) for s, g in rows.groupby("season") for e in set(range(g.episode.min(), g.episode.max() + 1)) - set(g.episode)}
+    assert {(r.season, r.episode) for r in job_queries.missing_in_range(spark, SF).collect()} == want
+
+
+def test_as_of_asks_for_all_orders(spark):
+    seen = observations(spark, SF).select("stream_id", "start_us").toPandas()
+    first, times = seen.start_us.min(), {k: sorted(g) for k, g in seen.groupby("stream_id").start_us}
+    orders = table(spark, SF, "orders").select("o_orderkey", "o_custkey").toPandas()
+    back, ahead = {}, {}
+    for key, stream in zip(orders.o_orderkey, orders.o_custkey, strict=True):
+        at = first + key % 30 * 86_400_000_000
+        if before := [t for t in times.get(stream, []) if t <= at]:
+            back[key] = before[-1]
+        if after := [t for t in times.get(stream, []) if t >= at]:
+            ahead[key] = after[0]
+    assert {r.ask_id: r.start_us for r in cue_queries.asof_backward(spark, SF).collect()} == back
+    assert {r.ask_id: r.start_us for r in cue_queries.asof_forward(spark, SF).collect()} == ahead
+
+
+def test_seek_windows_hold_all_frames(spark):
+    rows = observations(spark, SF).select("stream_id", "start_us").toPandas().sort_values(["stream_id", "start_us"])
+    new = ~(rows.groupby("stream_id").start_us.diff() <= 86_400_000_000)
+    want = pd.Series(1, rows.index).groupby([rows.stream_id, new.groupby(rows.stream_id).cumsum()]).sum()
+    assert {(r.stream_id, r.window_id): r.n for r in cue_queries.seek_windows(spark, SF).collect()} == want.to_dict()
