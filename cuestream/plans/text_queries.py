@@ -47,9 +47,10 @@ def letters_only(spark, sf_dir):
 
 
 def edit_distance(spark, sf_dir):
-    """The distance between an ASCII item's first and second twenty characters."""
-    b = table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return b.select("item_id", F.levenshtein(F.substring("text", 1, 20), F.substring("text", 21, 20)).alias("edits"))
+    """The distance between the whole texts of an item and of the next by id; null for the last."""
+    from pyspark.sql import Window as W
+
+    return table(spark, sf_dir, "benchmark").select("item_id", F.levenshtein("text", F.lead("text").over(W.orderBy("item_id"))).alias("edits"))
 
 
 def timecode_parse(spark, sf_dir):

@@ -63,3 +63,21 @@ def test_seek_windows_hold_all_frames(spark):
     new = ~(rows.groupby("stream_id").start_us.diff() <= 86_400_000_000)
     want = pd.Series(1, rows.index).groupby([rows.stream_id, new.groupby(rows.stream_id).cumsum()]).sum()
     assert {(r.stream_id, r.window_id): r.n for r in cue_queries.seek_windows(spark, SF).collect()} == want.to_dict()
+
+
+def test_edit_distance_reads_whole_texts(spark, monkeypatch):
+    """Against a plain computation; texts over forty characters and of other scripts are in the result."""
+    texts = ["the same beginning of forty characters, 1" + "x" * 30, "the same beginning of forty characters, 1" + "y" * 30, "é你好", "e你", "z"]
+    made = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    monkeypatch.setattr(text_queries, "table", lambda spark, sf_dir, name: made)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {i: edits(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))} | {4: None}
+    assert {r.item_id: r.edits for r in text_queries.edit_distance(spark, "").collect()} == want
