@@ -33,62 +33,83 @@ def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def nfc(text: Column, composed: bool = False) -> Column:
-    """NFC; `composed` promises that the input is NFC already and keeps the plan free of Python."""
-    return text if composed else F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(_compose(text))
+def nfc(text: Column) -> Column:
+    """NFC. Texts of characters below U+0300 are composed already; only the others are sent to the Arrow function."""
+    return F.coalesce(_compose(F.when(text.rlike(r"[^\x00-\u02ff]"), text)), text)
 
 
-def normalize(text: Column, composed: bool = False) -> Column:
-    """NFC, without control characters but line breaks, spaces collapsed, every line and the whole trimmed.
+def fold(text: Column) -> Column:
+    """Full case folding: upper case and back resolves what lower case leaves (sharp s, long s, ligatures); the dotless i and
+    the final sigma have rules of their own."""
+    kept = F.translate(F.lower(text), "ı", "\ue000")
+    return F.translate(F.lower(F.upper(kept)), "ς\ue000", "σı")
+
+
+def nfc_each(texts: Column) -> Column:
+    """NFC of every text of an array; a control character, which normalising drops anyway, parts them on the way."""
+    apart = F.transform(texts, lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), "\x01", ""))
+    return F.when(F.size(texts) > 0, F.split(nfc(F.array_join(apart, "\x01")), "\x01")).otherwise(F.array().cast("array<string>"))
+
+
+def normalize(text: Column) -> Column:
+    return normalize_composed(nfc(text))
+
+
+def normalize_composed(text: Column) -> Column:
+    """Of text in NFC, without control characters but line breaks, spaces collapsed, every line and the whole trimmed.
 
     A tab is a control character and goes. All of Unicode's line breaks are control characters too, but for
     U+2028 and U+2029, which break lines."""
-    text = F.regexp_replace(nfc(text, composed), r"[\x00-\x09\x0b-\x1f\x7f-\x9f]", "")
+    text = F.regexp_replace(text, r"[\x00-\x09\x0b-\x1f\x7f-\x9f]", "")
     text = F.regexp_replace(text, r"[  ]", "\n")
     text = F.regexp_replace(text, " +", " ")
     text = F.regexp_replace(text, r"(?U)[^\S\n]*\n[^\S\n]*", "\n")
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def key(text: Column, composed: bool = False) -> Column:
+def key(text: Column) -> Column:
+    return key_composed(nfc(text))
+
+
+def key_composed(text: Column) -> Column:
     """What makes two readings the same: quotes straightened, line breaks as spaces, no spaces
     between Han characters. Case and punctuation count."""
-    text = F.translate(normalize(text, composed), QUOTES_FROM, QUOTES_TO)
+    text = F.translate(normalize_composed(text), QUOTES_FROM, QUOTES_TO)
     text = F.regexp_replace(text, r"(?U)\s+", " ")
     return F.regexp_replace(text, f"(?<=[{HAN}]) +(?=[{HAN}])", "")
 
 
-def hangul_key(text: Column, composed: bool = False) -> Column:
+def hangul_key(text: Column) -> Column:
     """key, without any space where there is a Hangul syllable."""
-    k = key(text, composed)
+    k = key(text)
     return F.when(k.rlike(f"[{HANGUL}]"), F.regexp_replace(k, r"(?U)\s+", "")).otherwise(k)
 
 
-def reference_key(text: Column, composed: bool = False) -> Column:
+def reference_key(text: Column) -> Column:
     """NFC with white space collapsed."""
-    return F.regexp_replace(F.regexp_replace(nfc(text, composed), r"(?U)\s+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(nfc(text), r"(?U)\s+", " "), "^ | $", "")
 
 
-def letters(text: Column, composed: bool = False) -> Column:
-    """Letters and digits only, in lower case."""
-    return F.lower(F.regexp_replace(nfc(text, composed), r"[^\p{L}\p{N}]", ""))
+def letters(text: Column) -> Column:
+    """Letters and digits only, without case."""
+    return fold(F.regexp_replace(nfc(text), r"[^\p{L}\p{N}]", ""))
 
 
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def protected_change(left: Column, right: Column, composed: bool = False) -> Column:
+def protected_change(left: Column, right: Column) -> Column:
     """True if digits, closing punctuation or negations differ: then readings must never be merged on
     the likeness of their texts."""
-    a, b = (F.lower(key(x, composed)) for x in (left, right))
+    a, b = (fold(key(x)) for x in (left, right))
     digits, negation = r"(?U)\d+", "(?U)" + NEGATION
     return (_all(a, digits) != _all(b, digits)) | (_all(a, TERMINAL) != _all(b, TERMINAL)) | (_all(a, negation) != _all(b, negation))
 
 
-def protected_for_visual_check(left: Column, right: Column, composed: bool = False) -> Column:
+def protected_for_visual_check(left: Column, right: Column) -> Column:
     """protected_change, unless the letters are the same: slips of marks may be looked at."""
-    return protected_change(left, right, composed) & (letters(left, composed) != letters(right, composed))
+    return protected_change(left, right) & (letters(left) != letters(right))
 
 
 def guess_language(text: Column) -> Column:
@@ -103,10 +124,10 @@ def guess_language(text: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Sortable: the runs of digits as numbers, before the text between them in lower case."""
+    """Sortable: the runs of digits as numbers, before the text between them without case."""
     parts = F.regexp_extract_all(path, F.lit(r"\d+|\D+"), F.lit(0))
     return F.transform(
-        parts, lambda p: F.struct(F.when(p.rlike(r"^\d"), 0).otherwise(1).alias("kind"), F.when(p.rlike(r"^\d"), p.cast("decimal(38,0)")).alias("number"), F.lower(p).alias("text"))
+        parts, lambda p: F.struct(F.when(p.rlike(r"^\d"), 0).otherwise(1).alias("kind"), F.when(p.rlike(r"^\d"), p.cast("decimal(38,0)")).alias("number"), fold(p).alias("text"))
     )
 
 
@@ -154,10 +175,13 @@ def short_hash(text: Column, n: int = 12) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, n)
 
 
-def missing_line(candidate: Column, text: Column, composed: bool = False) -> Column:
+def missing_line(candidate: Column, text: Column) -> Column:
     """True if candidate (a key) is neither part of the text nor has one of its lines in it."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda t: key(t, composed)), lambda t: F.length(t) > 0)
-    return ~F.contains(key(text, composed), candidate) & ~F.exists(lines, lambda t: F.contains(candidate, t))
+    whole = nfc(text)
+    lines = F.filter(F.transform(F.split(whole, "\n"), key_composed), lambda t: F.length(t) > 0)
+    # Beside the lines, as no function of an array may hold an Arrow function, which the candidate may come from.
+    parts = F.zip_with(lines, F.array_repeat(candidate, F.size(lines)), lambda t, c: F.contains(c, t))
+    return ~F.contains(key_composed(whole), candidate) & ~F.array_contains(parts, True)
 
 
 def roi(value: Column) -> Column:

@@ -21,9 +21,15 @@ def nearest_rank(column: str, fraction: float) -> Column:
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})")
 
 
-def lower_index(column: str, fraction: float) -> Column:
-    """The sorted values' element at the whole part of fraction * (count - 1)."""
-    return F.expr(f"element_at(sort_array(collect_list({column})), cast(floor((count({column}) - 1) * {fraction}) as int) + 1)")
+def lower_index(rows: DataFrame, group: str, column: str, fractions: dict[str, float]) -> DataFrame:
+    """For each group and fraction the sorted values' element at the whole part of fraction * (count - 1).
+
+    Values are counted before they are put in order, so a group is as many rows as it has distinct values and never an array."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count("*").alias("n"))
+    w = W.partitionBy(group).orderBy(column)
+    upto = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(W.partitionBy(group)))
+    at = {name: F.floor((F.col("total") - 1) * f) for name, f in fractions.items()}
+    return upto.groupBy(group).agg(*[F.min(F.when(F.col("upto") > place, F.col(column))).alias(name) for name, place in at.items()])
 
 
 def problems(cues: DataFrame, duration_ms: Column) -> DataFrame:
@@ -41,18 +47,18 @@ def srt_block(number: Column, start_s: Column, end_s: Column, text: Column) -> C
     return F.concat(number.cast("string"), F.lit("\n"), T.stamp(start_s), F.lit(" --> "), T.stamp(end_s), F.lit("\n"), text)
 
 
-def srt_body(cues: DataFrame, composed: bool = False) -> DataFrame:
+def srt_body(cues: DataFrame) -> DataFrame:
     """stream_id, body: the SRT file of each stream, its cues in order of start and turn."""
     w = W.partitionBy("stream_id").orderBy("start_ms", "turn")
-    block = srt_block(F.row_number().over(w), F.col("start_ms") / 1000, F.col("end_ms") / 1000, T.normalize(F.col("text"), composed))
+    block = srt_block(F.row_number().over(w), F.col("start_ms") / 1000, F.col("end_ms") / 1000, T.normalize(F.col("text")))
     blocks = cues.select("stream_id", F.struct("start_ms", "turn", block.alias("block")).alias("b"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n\n")
     return blocks.groupBy("stream_id").agg(F.concat(joined, F.lit("\n")).alias("body"))
 
 
-def ass_lines(cues: DataFrame, placement: Column | None = None, composed: bool = False) -> DataFrame:
+def ass_lines(cues: DataFrame, placement: Column | None = None) -> DataFrame:
     """stream_id, turn, line: the dialogue lines of an ASS file."""
-    text = T.ass_text(T.normalize(F.col("text"), composed))
+    text = T.ass_text(T.normalize(F.col("text")))
     line = F.concat(
         F.lit("Dialogue: 0,"), T.stamp(F.col("start_ms") / 1000, True), F.lit(","), T.stamp(F.col("end_ms") / 1000, True), F.lit(",Default,,0,0,0,,"), placement if placement is not None else F.lit(""), text
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuestream.functions import text as T
+from cuestream.operators.ranks import numbered
 
 # Language codes and the recognition routes that they take; what counts as a video.
 ROUTES = {
@@ -42,12 +43,12 @@ def missing(jobs: DataFrame, group: str, number: str) -> DataFrame:
     return wanted.join(jobs.select(group, number).distinct(), [group, number], "left_anti")
 
 
-def output_stems(entries: DataFrame, folder: str = "_同名视频", composed: bool = False) -> DataFrame:
+def output_stems(entries: DataFrame, folder: str = "_同名视频") -> DataFrame:
     """entries (source, relative) with stem: the path without extension; where several have one, without regard
     to case, a folder named by the source's hash is put before the name. Absolute and upward paths are refused."""
     stem = F.regexp_replace("relative", r"(?<=[^/])\.[^./]+$", "")
     stem = F.when(F.col("relative").rlike(r"^/|(^|/)\.\.(/|$)"), F.raise_error("paths must lie within the output folder")).otherwise(stem)
-    rows = entries.withColumn("stem", stem).withColumn("same", F.count("*").over(W.partitionBy(F.lower(T.nfc(F.col("stem"), composed)))))
+    rows = entries.withColumn("stem", stem).withColumn("same", F.count("*").over(W.partitionBy(T.fold(T.nfc(F.col("stem"))))))
     parent, name = F.regexp_extract("stem", r"^(.*/)?[^/]*$", 1), F.regexp_extract("stem", "([^/]*)$", 1)
     own = F.concat(parent, F.lit(folder + "/"), T.short_hash(F.col("source")), F.lit("/"), name)
     return rows.select("source", "relative", F.when(F.col("same") > 1, own).otherwise(F.col("stem")).alias("stem"))
@@ -106,7 +107,7 @@ def restore(jobs: DataFrame, removed: DataFrame) -> DataFrame:
     """Removed jobs go back to their places (pos), unless a job of their source is there."""
     back = removed.join(jobs.select("source"), "source", "left_anti")
     both = jobs.withColumn("back", F.lit(1)).unionByName(back.withColumn("back", F.lit(0)))
-    return both.withColumn("pos", F.row_number().over(W.orderBy("pos", "back", "id")) - 1).drop("back")
+    return numbered(both.withColumnRenamed("pos", "at"), "at", "back", "id", name="pos").withColumn("pos", (F.col("pos") - 1).cast("int")).drop("at", "back")
 
 
 def cache_inventory(caches: DataFrame, jobs: DataFrame) -> DataFrame:

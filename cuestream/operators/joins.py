@@ -7,10 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def within_events(frames: DataFrame, events: DataFrame) -> DataFrame:
-    """Frames whose start lies in an event of their stream and key: a semi join with an interval."""
-    e = events.select(F.col("stream_id").alias("__s"), F.col("key").alias("__k"), F.col("start_us").alias("__from"), F.col("end_us").alias("__to"))
-    met = (F.col("stream_id") == F.col("__s")) & (F.col("key") == F.col("__k")) & (F.col("__from") <= F.col("start_us")) & (F.col("start_us") < F.col("__to"))
+def within_events(frames: DataFrame, events: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Frames whose start lies in an event of their stream and key: a semi join with an interval.
+
+    An event stands in every time bucket that it touches, a frame in the one of its start, so the join's equality
+    also parts a long stream."""
+    low, high = F.floor(F.col("start_us") / bucket_us), F.floor((F.col("end_us") - 1) / bucket_us)
+    e = events.where("end_us > start_us").select(
+        F.col("stream_id").alias("__s"), F.col("key").alias("__k"), F.col("start_us").alias("__from"), F.col("end_us").alias("__to"), F.explode(F.sequence(low, high)).alias("__b")
+    )
+    met = (F.col("stream_id") == F.col("__s")) & (F.col("key") == F.col("__k")) & (low == F.col("__b")) & (F.col("__from") <= F.col("start_us")) & (F.col("start_us") < F.col("__to"))
     return frames.join(e, met, "left_semi")
 
 

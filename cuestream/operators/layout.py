@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuestream.functions.text import key
+from cuestream.functions.text import fold, key, key_composed, nfc_each
+from cuestream.operators.cues import lower_index
 
 # Limits of the layout rules, as shares of the frame.
 SUSTAINED_S, SUSTAINED_FRAMES, LEAST_ANCHORS = 0.35, 5, 6
@@ -46,10 +47,13 @@ def line_geometry(lines: Column) -> Column:
     return F.when(n > 0, F.struct(mean(lambda x: x["box"]["y"] + x["box"]["h"] / 2).alias("centre"), mean(lambda x: x["box"]["h"]).alias("height"), n.alias("count")))
 
 
-def dominant_boxes(lines: Column, text: Column, composed: bool = True) -> Column:
+def dominant_boxes(lines: Column, text: Column) -> Column:
     """Confident lines whose reading is part of the row's."""
-    wanted = F.lower(key(text, composed))
-    return F.filter(lines, lambda x: (first_confidence(x) >= 0.5) & F.contains(wanted, F.lower(key(first_text(x), composed))))
+    wanted, read = fold(key(text)), nfc_each(F.transform(lines, first_text))
+    within = F.zip_with(read, F.array_repeat(wanted, F.size(read)), lambda t, k: F.contains(k, fold(key_composed(t))))
+    told = F.zip_with(lines, within, lambda x, w: F.struct(x.alias("line"), w.alias("within")))
+    own = F.filter(told, lambda x: (first_confidence(x["line"]) >= 0.5) & x["within"])
+    return F.transform(own, lambda x: x["line"])
 
 
 def drop_fragments(lines: Column) -> Column:
@@ -99,8 +103,8 @@ def learn(events: DataFrame, sustained: Column) -> DataFrame:
     near = anchors.join(rough, "stream_id").withColumn("near", (F.abs(F.col("x") - F.col("mx")) <= 14) & (F.col("h") / F.col("mh")).between(0.65, 1.55))
     enough = F.count_if("near").over(W.partitionBy("stream_id")) >= LEAST_ANCHORS
     used = near.withColumn("enough", enough).where(~F.col("enough") | F.col("near"))
-    index = lambda f: f"element_at(sort_array(collect_list(y)), cast(floor((count(y) - 1) * {f}) as int) + 1)"
-    return used.groupBy("stream_id").agg(F.median("x").alias("lx"), F.expr(index(0.1)).alias("low"), F.expr(index(0.9)).alias("high"), F.median("h").alias("lh"))
+    band = lower_index(used, "stream_id", "y", {"low": 0.1, "high": 0.9})
+    return used.groupBy("stream_id").agg(F.median("x").alias("lx"), F.median("h").alias("lh")).join(band, "stream_id").select("stream_id", "lx", "low", "high", "lh")
 
 
 def outliers(events: DataFrame, learned: DataFrame, weak: Column) -> DataFrame:

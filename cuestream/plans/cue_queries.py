@@ -37,7 +37,7 @@ def percentile_nearest_rank(spark, sf_dir):
 
 
 def percentile_lower_index(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(*[C.lower_index("l_extendedprice", f).alias(n) for f, n in ((0.1, "p10"), (0.9, "p90"))])
+    return C.lower_index(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice", {"p10": 0.1, "p90": 0.9})
 
 
 def srt_timestamp(spark, sf_dir):
@@ -165,7 +165,7 @@ def _stamp(ms: str, scale: int) -> str:
 #: Line breaks, control characters and white space of every line, as normalising treats them.
 NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '[\x00-\x09\x0b-\x1f\x7f-\x9f]', '', 'g'), ' +', ' ', 'g'), ' *\n *', chr(10), 'g'), ' ' || chr(10))"
 _TEXT = NORMAL.format("text")
-_ASKS = "asks AS (SELECT o_orderkey AS ask_id, o_custkey AS stream_id, (SELECT min(start_us) FROM obs) + o_orderkey % 30 * 86400000000 AS at_us FROM orders WHERE o_orderkey % 4 = 0)"
+_ASKS = "asks AS (SELECT o_orderkey AS ask_id, o_custkey AS stream_id, (SELECT min(start_us) FROM obs) + o_orderkey % 30 * 86400000000 AS at_us FROM orders)"
 _FRAGMENTS = SHIFTED + """, fragments AS (SELECT a.stream_id, a.turn, count(b.turn) AS fragments FROM cues a LEFT JOIN shifted b
   ON a.stream_id = b.stream_id AND least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) > 20 GROUP BY a.stream_id, a.turn)"""
 
@@ -198,7 +198,7 @@ TWINS = {
     "asof_backward": (asof_backward, f"WITH {OBS}, {_ASKS} SELECT a.ask_id, a.stream_id, a.at_us, o.start_us, o.frame, o.key FROM asks a ASOF JOIN obs o ON a.stream_id = o.stream_id AND a.at_us >= o.start_us"),
     "asof_forward": (asof_forward, f"WITH {OBS}, {_ASKS} SELECT a.ask_id, a.stream_id, a.at_us, o.start_us, o.frame, o.key FROM asks a ASOF JOIN obs o ON a.stream_id = o.stream_id AND a.at_us <= o.start_us"),
     "resume_anti": (resume_anti, f"WITH {OBS} SELECT stream_id, frame FROM obs WHERE frame % 3 <> 0"),
-    "seek_windows": (seek_windows, f"""WITH {OBS}, asked AS (SELECT *, CASE WHEN start_us - lag(start_us) OVER w <= 86400000000 THEN 0 ELSE 1 END AS new FROM obs WHERE frame % 4 = 0 WINDOW w AS (PARTITION BY stream_id ORDER BY start_us)),
+    "seek_windows": (seek_windows, f"""WITH {OBS}, asked AS (SELECT *, CASE WHEN start_us - lag(start_us) OVER w <= 86400000000 THEN 0 ELSE 1 END AS new FROM obs WINDOW w AS (PARTITION BY stream_id ORDER BY start_us)),
       numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY stream_id ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS BIGINT) AS window_id FROM asked)
       SELECT stream_id, window_id, count(*) AS n, min(start_us) AS from_us, max(start_us) AS to_us FROM numbered GROUP BY stream_id, window_id"""),
     "cache_upsert": (cache_upsert, f"WITH {OBS} SELECT stream_id, frame, CASE WHEN frame % 5 = 0 THEN 'v2:' || text ELSE text END AS text, CASE WHEN frame % 5 = 0 THEN 2 ELSE 1 END AS version FROM obs"),

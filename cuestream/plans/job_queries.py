@@ -45,7 +45,7 @@ def project_progress(spark, sf_dir):
 
 
 def output_collisions(spark, sf_dir):
-    return Q.output_stems(videos(spark, sf_dir).select("source", "relative"), composed=True)
+    return Q.output_stems(videos(spark, sf_dir).select("source", "relative"))
 
 
 def settings_change(spark, sf_dir):
@@ -136,8 +136,8 @@ def _progress_sql(group: str) -> str:
 
 TWINS = {
     "duplicate_keys": (duplicate_keys, f"WITH {JOBS} SELECT season, episode, count(*) AS n FROM jobs GROUP BY season, episode HAVING count(*) > 1"),
-    "missing_in_range": (missing_in_range, f"""WITH {JOBS}, few AS (SELECT * FROM jobs WHERE id % 40 = 0), wanted AS (SELECT season, CAST(unnest(range(min(episode), max(episode) + 1)) AS INTEGER) AS episode FROM few GROUP BY season)
-      SELECT * FROM wanted EXCEPT SELECT season, episode FROM few"""),
+    "missing_in_range": (missing_in_range, f"""WITH {JOBS}, wanted AS (SELECT season, CAST(unnest(range(min(episode), max(episode) + 1)) AS INTEGER) AS episode FROM jobs GROUP BY season)
+      SELECT * FROM wanted EXCEPT SELECT season, episode FROM jobs"""),
     "series_totals": (series_totals, f"WITH {JOBS} SELECT series, count(*) AS total, count(*) FILTER (status = 'done') AS done, min(id) AS first_id FROM jobs GROUP BY series"),
     "weighted_progress": (weighted_progress, _progress_sql("series")),
     "project_progress": (project_progress, _progress_sql("")),
@@ -158,7 +158,7 @@ TWINS = {
       moved AS (SELECT id, source, replace(source, '/media/', '/moved/') AS candidate FROM videos WHERE series = (SELECT min(p_brand) FROM part)),
       found AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY id) AS k FROM moved WHERE candidate IN (SELECT path FROM files))
       SELECT id, source, candidate AS new_source FROM found WHERE k = 1"""),
-    "restore_removed": (restore_removed, f"""WITH {VIDEO}, v AS (SELECT id, source, id - 1 AS pos FROM videos WHERE id <= 300), kept AS (SELECT *, 1 AS back FROM v WHERE id % 5 <> 0),
+    "restore_removed": (restore_removed, f"""WITH {VIDEO}, v AS (SELECT id, source, id - 1 AS pos FROM videos), kept AS (SELECT *, 1 AS back FROM v WHERE id % 5 <> 0),
       again AS (SELECT *, 0 AS back FROM v WHERE (id % 5 = 0 OR id % 7 = 0) AND source NOT IN (SELECT source FROM kept))
       SELECT id, source, CAST(row_number() OVER (ORDER BY pos, back, id) - 1 AS INTEGER) AS pos FROM (SELECT * FROM kept UNION ALL SELECT * FROM again)"""),
     "cache_inventory": (cache_inventory, f"""WITH {VIDEO}, caches AS (SELECT DISTINCT source, sha256('content-' || id % 600) AS sha256 FROM videos WHERE id % 2 = 0), waiting AS (SELECT source FROM videos WHERE status <> 'done')

@@ -108,11 +108,12 @@ def streaming_event_fold(spark, sf_dir):
 
 
 def streaming_runs(spark, sf_dir):
-    """Finished runs of the readings as a stream; the last run of each stream is still open."""
+    """Runs of the readings as a stream, with a mark at each stream's end."""
     rows = observations(spark, sf_dir).select("stream_id", "frame", "start_us", "end_us", "text")
+    ends = rows.groupBy("stream_id").agg(F.max("frame").alias("frame"), (F.max("start_us") + 1).alias("start_us"), F.max("end_us").alias("end_us"), F.lit(None).cast("string").alias("text"))
     folder = folds._shared(spark)
-    rows.write.parquet(folder)
-    return folds.drain(folds.encode_runs(spark.readStream.schema(rows.schema).parquet(folder)), "append")
+    rows.union(ends).write.parquet(folder)
+    return folds.drain(folds.encode_runs(spark.readStream.schema(rows.schema).parquet(folder)), "append").where("not refused").drop("refused")
 
 
 from cuestream.plans.job_queries import TWINS as _JOBS  # noqa: E402  the batch twin of the streaming fold
@@ -121,5 +122,5 @@ TWINS = {
     "segment_full": (segment_full, None), "shadow_segments": (shadow_segments, None), "align_pairs": (align_pairs, None), "align_report": (align_report, None), "line_tracks": (line_tracks, None),
     "region_calibration": (region_calibration, None), "observed_layout": (observed_layout, None), "fragment_prune": (fragment_prune, None), "cache_read": (cache_read, None), "mask_tests": (mask_tests, None),
     "streaming_event_fold": (streaming_event_fold, _JOBS["worker_event_fold"][1]),
-    "streaming_runs": (streaming_runs, f"WITH {RUNS}, ends AS (SELECT stream_id, max(run_id) AS last FROM runs GROUP BY stream_id) SELECT r.stream_id, key, n, first_frame, last_frame, start_us, end_us FROM runs r JOIN ends e ON r.stream_id = e.stream_id WHERE run_id < last"),
+    "streaming_runs": (streaming_runs, f"WITH {RUNS} SELECT stream_id, key, n, first_frame, last_frame, start_us, end_us FROM runs"),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuestream.functions import text as T
 from cuestream.operators import layout as L
+from cuestream.operators.ranks import numbered
 from cuestream.plans.carriers import CUES, LAYOUTS, cues, layouts, table
 from cuestream.plans.cue_queries import NORMAL
 
@@ -14,11 +15,11 @@ KEY = KEY.replace('""', '"')
 
 
 def text_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.key(F.col("text"), True).cast("binary")).alias("key_md5"), F.length(T.key(F.col("text"), True)).alias("key_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.key(F.col("text")).cast("binary")).alias("key_md5"), F.length(T.key(F.col("text"))).alias("key_chars"))
 
 
 def reference_text_key(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.reference_key(F.col("text"), True).alias("key"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.reference_key(F.col("text")).alias("key"))
 
 
 def script_guess(spark, sf_dir):
@@ -26,11 +27,8 @@ def script_guess(spark, sf_dir):
 
 
 def natural_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), (F.col("p_partkey") * 7919 % 1009).cast("string"), F.lit("-"), "p_type").alias("path"))
-    w = W.orderBy(T.natural_key(F.col("path")), "p_partkey")
-    return p.withColumn("place", F.row_number().over(w)).select("p_partkey", "path", "place")
+    return numbered(p.withColumn("k", T.natural_key(F.col("path"))), "k", "p_partkey", name="place").select("p_partkey", "path", F.col("place").cast("int").alias("place"))
 
 
 def protected_change(spark, sf_dir):
@@ -39,18 +37,18 @@ def protected_change(spark, sf_dir):
 
     c = cues(spark, sf_dir)
     c = c.withColumn("said", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("no "), "text")).otherwise(F.col("text"))).withColumn("before", F.lag("said").over(W.partitionBy("stream_id").orderBy("turn")))
-    return c.where(F.col("before").isNotNull()).select("stream_id", "turn", T.protected_change(F.col("before"), F.col("said"), True).alias("protected"))
+    return c.where(F.col("before").isNotNull()).select("stream_id", "turn", T.protected_change(F.col("before"), F.col("said")).alias("protected"))
 
 
 def letters_only(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.letters(F.col("text"), True).alias("letters"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.letters(F.col("text")).alias("letters"))
 
 
 def edit_distance(spark, sf_dir):
     """The distance between the whole texts of an item and of the next by id; null for the last."""
-    from pyspark.sql import Window as W
-
-    return table(spark, sf_dir, "benchmark").select("item_id", F.levenshtein("text", F.lead("text").over(W.orderBy("item_id"))).alias("edits"))
+    items = numbered(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text")
+    following = items.select((F.col("nth") - 1).alias("nth"), F.col("text").alias("next"))
+    return items.join(following, "nth", "left").select("item_id", F.levenshtein("text", "next").alias("edits"))
 
 
 def timecode_parse(spark, sf_dir):
@@ -78,7 +76,7 @@ def missing_line(spark, sf_dir):
     from pyspark.sql import Window as W
 
     c = cues(spark, sf_dir).withColumn("after", F.lead("text").over(W.partitionBy("stream_id").orderBy("turn"))).where(F.col("after").isNotNull())
-    return c.select("stream_id", "turn", T.missing_line(T.key(F.split("text", "\n")[0], True), F.col("after"), True).alias("missing"))
+    return c.select("stream_id", "turn", T.missing_line(T.key(F.split("text", "\n")[0]), F.col("after")).alias("missing"))
 
 
 def region_parse(spark, sf_dir):
@@ -145,6 +143,12 @@ _ONLY = r"regexp_replace(text, '[^\p{L}]', '', 'g')"
 _COUNT = lambda chars: f"(length({_ONLY}) - length(regexp_replace({_ONLY}, '[{chars}]', '', 'g')))"
 _F = lambda k: f"CAST(c_custkey * {k} % 100 AS DOUBLE) / 100"
 
+#: The distance counts bytes there, so every letter of a pair is written as one byte, by its place among their letters.
+_IN_BYTES = "array_to_string(list_transform(regexp_extract_all({0}, '(?s).'), lambda c: chr(CAST(list_position(letters, c) AS INTEGER))), '')"
+_CAUGHT = """abnormal AS (SELECT * FROM judged WHERE reason IS NULL AND (abs(x - lx) > 12 OR y < low - 6 OR y > high + 6)),
+      caught AS (SELECT stream_id, event_id, x, y, start_cs, end_cs FROM judged WHERE reason IS NOT NULL UNION
+        SELECT a.stream_id, a.event_id, a.x, a.y, a.start_cs, a.end_cs FROM caught c JOIN abnormal a ON a.stream_id = c.stream_id AND abs(a.x - c.x) <= 12 AND abs(a.y - c.y) <= 12 AND a.start_cs - c.end_cs <= 35 AND c.start_cs - a.end_cs <= 35)"""
+
 TWINS = {
     "text_key": (text_key, f"SELECT doc_id, md5({KEY.format('text')}) AS key_md5, CAST(length({KEY.format('text')}) AS INTEGER) AS key_chars FROM documents"),
     "reference_text_key": (reference_text_key, r"SELECT item_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS key FROM benchmark"),
@@ -156,7 +160,8 @@ TWINS = {
       keyed AS (SELECT stream_id, turn, {KEY.format('said')} AS b, lag({KEY.format('said')}) OVER (PARTITION BY stream_id ORDER BY turn) AS a FROM said)
       SELECT stream_id, turn, {_DIFFER} AS protected FROM keyed WHERE a IS NOT NULL"""),
     "letters_only": (letters_only, r"SELECT item_id, lower(regexp_replace(nfc_normalize(text), '[^\p{L}\p{N}]', '', 'g')) AS letters FROM benchmark"),
-    "edit_distance": (edit_distance, "SELECT item_id, CAST(levenshtein(substr(text, 1, 20), substr(text, 21, 20)) AS INTEGER) AS edits FROM benchmark WHERE length(text) = strlen(text)"),
+    "edit_distance": (edit_distance, f"""WITH pairs AS (SELECT item_id, text AS a, lead(text) OVER (ORDER BY item_id, text) AS b FROM benchmark), told AS (SELECT *, list_distinct(regexp_extract_all(a || b, '(?s).')) AS letters FROM pairs)
+      SELECT item_id, CAST(levenshtein({_IN_BYTES.format('a')}, {_IN_BYTES.format('b')}) AS INTEGER) AS edits FROM told"""),
     "timecode_parse": (timecode_parse, f"WITH {CUES} SELECT stream_id, turn, start_ms AS ms FROM cues"),
     "episode_parse": (episode_parse, """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_partkey < 10000 THEN p_size END AS season, CASE WHEN p_partkey % 4 <> 3 AND p_partkey < 10000 THEN CAST(p_partkey AS INTEGER) END AS episode FROM part"""),
     "video_stem": (video_stem, r"SELECT page_id, regexp_replace(regexp_replace(url, '^.*/', ''), '(.)\.[^.]+$', '\1') AS stem FROM pages"),
@@ -168,11 +173,10 @@ TWINS = {
       SELECT c_custkey, valid, round(CASE WHEN valid THEN CASE WHEN as_is THEN y1 ELSE greatest(0.0, y1 - margin) END END, 6) AS top, round(CASE WHEN valid THEN CASE WHEN as_is THEN y2 ELSE least(1.0, y2 + margin * 0.5) END END, 6) AS bottom FROM m"""),
     "scale_selection": (scale_selection, "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 3 WHEN (c_nationkey < 12 AND c_custkey % 3 = 0) OR c_custkey % 2000 >= 960 THEN 1 ELSE 2 END AS scale FROM customer"),
     "layout_outliers": (layout_outliers, f"WITH {_LEARNED} SELECT stream_id, event_id, reason FROM judged WHERE reason IS NOT NULL"),
-    "scene_track_closure": (scene_track_closure, f"""WITH RECURSIVE {_LEARNED}, abnormal AS (SELECT * FROM judged WHERE reason IS NULL AND (abs(x - lx) > 12 OR y < low - 6 OR y > high + 6)),
-      caught AS (SELECT stream_id, event_id, x, y, start_cs, end_cs FROM judged WHERE reason IS NOT NULL UNION
-        SELECT a.stream_id, a.event_id, a.x, a.y, a.start_cs, a.end_cs FROM caught c JOIN abnormal a ON a.stream_id = c.stream_id AND abs(a.x - c.x) <= 12 AND abs(a.y - c.y) <= 12 AND a.start_cs - c.end_cs <= 35 AND c.start_cs - a.end_cs <= 35)
+    "scene_track_closure": (scene_track_closure, f"""WITH RECURSIVE {_LEARNED}, {_CAUGHT}
       SELECT stream_id, event_id, coalesce(reason, 'scene_text_track') AS reason FROM judged WHERE (stream_id, event_id) IN (SELECT (stream_id, event_id) FROM caught)"""),
-    "renumbered_events": (renumbered_events, f"WITH {_LEARNED} SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_cs, event_id) AS id FROM judged WHERE reason IS NULL"),
+    "renumbered_events": (renumbered_events, f"""WITH RECURSIVE {_LEARNED}, {_CAUGHT}
+      SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_cs, event_id) AS id FROM judged WHERE (stream_id, event_id) NOT IN (SELECT (stream_id, event_id) FROM caught)"""),
     "robust_typical_height": (robust_typical_height, f"""WITH {LAYOUTS}, m AS (SELECT stream_id, median(h) AS m, count(*) AS n FROM layouts GROUP BY stream_id HAVING count(*) >= 4)
       SELECT l.stream_id, median(h) AS typical, count(*) AS near FROM layouts l JOIN m ON l.stream_id = m.stream_id AND h BETWEEN m * 0.75 AND m * 1.3 GROUP BY l.stream_id HAVING count(*) >= 4 AND count(*) >= max(n) * 0.65"""),
     "region_scores": (region_scores, f"""WITH {LAYOUTS} SELECT stream_id, CAST(floor(y / 10) AS BIGINT) AS cluster, count(DISTINCT x) AS unique_texts, count(DISTINCT event_id % 12) AS coverage,

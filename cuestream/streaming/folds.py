@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cuestream.functions.readings import key
 from cuestream.operators import jobs
+from cuestream.operators.lineage import shared_folder
 
-RUN = "stream_id long, key string, n long, first_frame long, last_frame long, start_us long, end_us long"
+RUN = "stream_id long, key string, n long, first_frame long, last_frame long, start_us long, end_us long, refused boolean"
 
 
 def _shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-    return f"{folder}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
@@ -41,29 +40,47 @@ def fold_events(events: DataFrame) -> DataFrame:
     return jobs.fold_events(events)
 
 
+class _Open:
+    """The open run of a stream (none if n is 0) and the last start that was taken in."""
+
+    def __init__(self, values=("", 0, 0, 0, 0, 0, -(1 << 63))):
+        self.key, self.n, self.first, self.last, self.start, self.end, self.seen = values
+
+    def values(self) -> tuple:
+        return self.key, self.n, self.first, self.last, self.start, self.end, self.seen
+
+    def close(self) -> list[tuple]:
+        done = [(self.key, self.n, self.first, self.last, self.start, self.end, False)] if self.n else []
+        self.n = 0
+        return done
+
+    def take(self, row) -> list[tuple]:
+        """What a row finishes: a run, or the row itself if it comes too late."""
+        if row.text is None:
+            return self.close()
+        k = key(row.text)
+        if row.start_us <= self.seen:
+            return [(k, 0, row.frame, row.frame, row.start_us, row.end_us, True)]
+        done = [] if self.n and k == self.key else self.close()
+        if not self.n:
+            self.key, self.first, self.start = k, row.frame, row.start_us
+        self.n, self.last, self.end, self.seen = self.n + 1, row.frame, row.end_us, row.start_us
+        return done
+
+
 def encode_runs(rows: DataFrame) -> DataFrame:
     """A stream of observations (stream_id, frame, start_us, end_us, text) to its finished runs.
 
-    The state of a stream is its open run and the last start: a run is given out when another key begins. Rows
-    that do not start after the last one are refused, as the batch check would report them. Rows of one
-    micro-batch are put in order first."""
+    The state of a stream is its open run and the last start: a run is given out when another key begins, or at an
+    end mark, a row without text that starts after all others. Rows that do not start after the last one are given
+    out as `refused`, with n 0, for whoever watches the stream. Rows of one micro-batch are put in order first."""
 
     def run(stream, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        open_run = list(state.get) if state.exists else None
-        done = []
+        current, done = _Open(state.get) if state.exists else _Open(), []
         for row in pd.concat(list(batches)).sort_values(["start_us", "frame"]).itertuples(index=False):
-            k = key(row.text)
-            if open_run and row.start_us <= open_run[6]:
-                continue
-            if open_run and open_run[0] == k:
-                open_run[1], open_run[3], open_run[5], open_run[6] = open_run[1] + 1, row.frame, row.end_us, row.start_us
-            else:
-                if open_run:
-                    done.append((stream[0], *open_run[:6]))
-                open_run = [k, 1, row.frame, row.frame, row.start_us, row.end_us, row.start_us]
-        if open_run:
-            state.update(tuple(open_run))
-        yield pd.DataFrame(done, columns=[c.strip().split(" ")[0] for c in RUN.split(",")])
+            done += current.take(row)
+        state.update(current.values())
+        yield pd.DataFrame([(stream[0], *x) for x in done], columns=[c.strip().split(" ")[0] for c in RUN.split(",")])
 
     kept = "key string, n long, first_frame long, last_frame long, start_us long, end_us long, last_us long"
     return rows.groupBy("stream_id").applyInPandasWithState(run, RUN, kept, "append", "NoTimeout")
