@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable
 from functools import cached_property
+from itertools import accumulate, takewhile
 from statistics import median
 
 import pandas as pd
@@ -192,22 +193,19 @@ def _bracket_end(runs: list[Run], i: int) -> int | None:
 
 def _recurrent_end(runs: list[Run], i: int) -> int | None:
     """The furthest return to a reading that alternates with brief variants and far outlasts them."""
-    anchor, found = runs[i], None
+    anchor = runs[i]
     if not anchor.key:
         return None
-    held, noise = anchor.duration, 0.0
-    for j in range(i + 1, len(runs)):
-        run = runs[j]
-        if not run.key or run.start - anchor.end > RECURRENT["reach"] or not same_band(anchor.band, run.band):
-            break
-        if run.key == anchor.key:
-            held += run.duration
-            if held >= max(RECURRENT["canonical"], noise * RECURRENT["support"]) and run.end - anchor.start >= RECURRENT["span"]:
-                found = j
-        elif brief_variant(anchor, run) and noise + run.duration <= RECURRENT["noise"]:
-            noise += run.duration
-        else:
+    near = takewhile(lambda r: r.key and r.start - anchor.end <= RECURRENT["reach"] and same_band(anchor.band, r.band), runs[i + 1 :])
+    held, noise, found = anchor.duration, 0.0, None
+    for j, run in enumerate(near, i + 1):
+        own = run.key == anchor.key
+        held, noise = held + run.duration * own, noise + run.duration * (not own)
+        if not own and (noise > RECURRENT["noise"] or not brief_variant(anchor, run)):
             break
+        outlasts = held >= max(RECURRENT["canonical"], noise * RECURRENT["support"])
+        if own and outlasts and run.end - anchor.start >= RECURRENT["span"]:
+            found = j
     return found
 
 
@@ -223,52 +221,75 @@ def collapse(runs: list[Run], end_of: Callable[[list[Run], int], int | None], fl
     return runs
 
 
+def _follows(runs: list[Run]) -> list[bool]:
+    """For each run whether it may be another reading of the caption of the run before, without a pause."""
+    pairs = zip(runs, runs[1:], strict=False)
+    return [False, *(bool(a.key and b.key) and b.start - a.end <= ADJACENT_GAP and volatile_pair(a, b) for a, b in pairs)]
+
+
+def _line_count(run: Run) -> int:
+    return len(run.rows[0]["text"].splitlines())
+
+
+def _steady_change(head: Run, run: Run) -> bool:
+    """Another reading of as many lines that stays is no flicker."""
+    return run.key != head.key and run.duration > VOLATILE["sustained"] and _line_count(run) == _line_count(head)
+
+
+def _flicker(group: list[Run]) -> bool:
+    brief = [r for r in group[1:] if r.duration <= VOLATILE["switch"]]
+    least = {"runs": len(group), "switches": len(brief), "keys": len({r.key for r in group}), "least_span": group[-1].end - group[0].start}
+    return all(value >= VOLATILE[name] for name, value in least.items())
+
+
+def _fullest(group: list[Run]) -> str | None:
+    """Of the texts seen often enough the one of the most lines, then rows, then characters; of equal ones the first."""
+    seen = Counter(row["text"] for r in group for row in r.rows)
+    ranked = [((len(t.splitlines()), n, len(t)), -k, t) for k, (t, n) in enumerate(seen.items()) if n >= VOLATILE["seen"]]
+    return max(ranked)[2] if ranked else None
+
+
 def _volatile(runs: list[Run]) -> list[Run]:
-    """Groups of adjacent readings that switch fast among three or more become the fullest that was often seen."""
-    out, i = [], 0
-    while i < len(runs):
-        group = [runs[i]]
-        for run in runs[i + 1 :]:
-            if not group[-1].key or not run.key or run.start - group[-1].end > ADJACENT_GAP or run.end - group[0].start > VOLATILE["span"] or not volatile_pair(group[-1], run):
-                break
-            lines = [len(r.rows[0]["text"].splitlines()) for r in (run, group[0])]
-            if run.duration > VOLATILE["sustained"] and lines[0] == lines[1] and run.key != group[0].key:
-                break
-            group.append(run)
-        i += len(group)
-        switches = sum(r.duration <= VOLATILE["switch"] for r in group[1:])
-        long_enough = group[-1].end - group[0].start >= VOLATILE["least_span"]
-        if len(group) >= VOLATILE["runs"] and switches >= VOLATILE["switches"] and long_enough and len({r.key for r in group}) >= VOLATILE["keys"]:
-            seen = Counter(row["text"] for r in group for row in r.rows)
-            often = [t for t, n in seen.items() if n >= VOLATILE["seen"]]
-            if often:
-                best = max(often, key=lambda t: (len(t.splitlines()), seen[t], len(t)))
-                group = [merged(group, "volatile_ocr_compacted", R.key(best))]
-        out += group
+    """Groups of adjacent readings that switch fast among three or more become the fullest that was often seen.
+
+    A group goes from its head as far as each run follows the one before, within a span, and none of them is a steady change."""
+    follows, out, head = _follows(runs), [], 0
+    while head < len(runs):
+        first = runs[head]
+        stays = (follows[k] and runs[k].end - first.start <= VOLATILE["span"] and not _steady_change(first, runs[k]) for k in range(head + 1, len(runs)))
+        group = runs[head : head + 1 + sum(1 for _ in takewhile(bool, stays))]
+        text = _fullest(group) if _flicker(group) else None
+        out += group if text is None else [merged(group, "volatile_ocr_compacted", R.key(text))]
+        head += len(group)
     return out
 
 
+def _anchor_reach(runs: list[Run], at: int) -> tuple[int, str] | None:
+    """How many runs after a volatile one it goes on through, and the steady reading that it comes to."""
+    first, following = runs[at], runs[at + 1 :]
+    shown = Counter(R.key(r["text"]) for r in first.rows)
+    if max((n for k, n in shown.items() if k != first.key), default=0) < ANCHOR["seen"]:
+        return None
+    linked = (follows and b.end - first.start <= ANCHOR["reach"] for follows, b in zip(_follows([first, *following])[1:], following, strict=True))
+    near = following[: sum(1 for _ in takewhile(bool, linked))]
+    totals = accumulate((Counter(R.key(r["text"]) for r in run.rows) for run in near), initial=shown)
+    steady = [
+        (n, run.key)
+        for n, (run, total) in enumerate(zip(near, list(totals)[1:], strict=True), 1)
+        if run.duration >= ANCHOR["stable"] and shown[run.key] >= ANCHOR["seen"] and total[run.key] == max(total.values())
+    ]
+    return steady[-1] if steady else None
+
+
 def _to_anchor(runs: list[Run]) -> list[Run]:
     """A volatile run goes on to a later steady reading that it had already shown, if that is then the commonest."""
-    runs, i = list(runs), 0
-    while i < len(runs):
-        first = runs[i]
-        i += 1
-        shown = Counter(R.key(r["text"]) for r in first.rows)
-        if "volatile_ocr_compacted" not in first.flags or not any(n >= ANCHOR["seen"] and k != first.key for k, n in shown.items()):
-            continue
-        counts, last, best = Counter(shown), first, None
-        for j in range(i, len(runs)):
-            run = runs[j]
-            if not run.key or run.start - last.end > ADJACENT_GAP or run.end - first.start > ANCHOR["reach"] or not volatile_pair(last, run):
-                break
-            counts.update(R.key(r["text"]) for r in run.rows)
-            last = run
-            if run.duration >= ANCHOR["stable"] and shown[run.key] >= ANCHOR["seen"] and counts[run.key] >= max(counts.values()):
-                best = j, run.key
-        if best:
-            runs[i - 1 : best[0] + 1] = [merged(runs[i - 1 : best[0] + 1], "volatile_anchor_compacted", best[1])]
-    return runs
+    out, at = [], 0
+    while at < len(runs):
+        reach = _anchor_reach(runs, at) if "volatile_ocr_compacted" in runs[at].flags else None
+        n, k = reach or (0, None)
+        out.append(merged(runs[at : at + n + 1], "volatile_anchor_compacted", k) if n else runs[at])
+        at += n + 1
+    return out
 
 
 def make_runs(rows: list[dict]) -> list[Run]:
@@ -310,28 +331,40 @@ def make_events(rows: list[dict]) -> list[dict]:
     return events
 
 
+class Cluster:
+    """Readings taken for one by likeness to the commonest among them."""
+
+    def __init__(self, row: dict):
+        self.rows, self.lead, self.counts = [], R.key(row["text"]), Counter()
+        self.add(row)
+
+    def takes(self, row: dict, threshold: float, blank_gap: float) -> bool:
+        k = R.key(row["text"])
+        near = row["start"] - self.rows[-1]["end"] <= blank_gap + EPS
+        return near and (k == self.lead or R.likeness(self.lead, k, autojunk=False) >= threshold)
+
+    def add(self, row: dict) -> None:
+        k = R.key(row["text"])
+        self.rows.append(row)
+        self.counts[k] += 1
+        self.lead = k if self.counts[k] > self.counts[self.lead] else self.lead
+
+    def summary(self) -> dict:
+        text, n = Counter(r["text"] for r in self.rows).most_common(1)[0]
+        first, last = self.rows[0], self.rows[-1]
+        span = {"start": first["start"], "end": last["end"], "first_frame": first["frame"], "last_frame": last["frame"]}
+        return span | {"text": text, "frames": len(self.rows), "agreement": n / len(self.rows), "merged_different_readings": len(self.counts) > 1}
+
+
 def shadow_clusters(rows: list[dict], threshold: float = 0.85, blank_gap: float = 0.12) -> list[dict]:
     """What clustering by likeness alone would give: a diagnosis, never an export."""
-    clusters: list[dict] = []
-    for row in rows:
-        k = R.key(row["text"])
-        if not k:
-            continue
-        last = clusters[-1] if clusters else None
-        if not last or row["start"] - last["end"] > blank_gap + EPS or (k != last["lead"] and R.likeness(last["lead"], k, autojunk=False) < threshold):
-            last = {"start": row["start"], "first_frame": row["frame"], "lead": k, "keys": Counter(), "variants": Counter()}
-            clusters.append(last)
-        last |= {"end": row["end"], "last_frame": row["frame"]}
-        last["keys"][k] += 1
-        last["variants"][row["text"]] += 1
-        if last["keys"][k] > last["keys"][last["lead"]]:
-            last["lead"] = k
-    out = []
-    for c in clusters:
-        text, n = c["variants"].most_common(1)[0]
-        total = sum(c["variants"].values())
-        out.append({x: c[x] for x in ("start", "end", "first_frame", "last_frame")} | {"text": text, "frames": total, "agreement": n / total, "merged_different_readings": len(c["keys"]) > 1})
-    return out
+    clusters: list[Cluster] = []
+    for row in (r for r in rows if R.key(r["text"])):
+        if clusters and clusters[-1].takes(row, threshold, blank_gap):
+            clusters[-1].add(row)
+        else:
+            clusters.append(Cluster(row))
+    return [c.summary() for c in clusters]
 
 
 def _rows(pdf: pd.DataFrame) -> list[dict]:

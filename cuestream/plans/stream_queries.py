@@ -48,13 +48,6 @@ def align_report(spark, sf_dir):
     return alignment.report(align_pairs(spark, sf_dir), "stream_id")
 
 
-def line_tracks(spark, sf_dir):
-    """Lines that hold for eight frames, as the readings' confidence comes and goes."""
-    held = F.concat(F.lit("line "), F.floor(F.col("frame") / 8).cast("string"))
-    said = F.transform("lines", lambda x: F.struct(x["box"].alias("box"), F.transform(x["candidates"], lambda c: F.struct(held.alias("text"), c["confidence"].alias("confidence"))).alias("candidates")))
-    return tracks.line_tracks(_timed(spark, sf_dir).select("stream_id", "frame", "start", "end", said.alias("lines")))
-
-
 def region_calibration(spark, sf_dir):
     """Twelve frames of each stream, evenly spaced, clustered by height."""
     from pyspark.sql import Window as W
@@ -119,7 +112,7 @@ def streaming_runs(spark, sf_dir):
 from cuestream.plans.job_queries import TWINS as _JOBS  # noqa: E402  the batch twin of the streaming fold
 
 TWINS = {
-    "segment_full": (segment_full, None), "shadow_segments": (shadow_segments, None), "align_pairs": (align_pairs, None), "align_report": (align_report, None), "line_tracks": (line_tracks, None),
+    "segment_full": (segment_full, None), "shadow_segments": (shadow_segments, None), "align_pairs": (align_pairs, None), "align_report": (align_report, None),
     "region_calibration": (region_calibration, None), "observed_layout": (observed_layout, None), "fragment_prune": (fragment_prune, None), "cache_read": (cache_read, None), "mask_tests": (mask_tests, None),
     "streaming_event_fold": (streaming_event_fold, _JOBS["worker_event_fold"][1]),
     "streaming_runs": (streaming_runs, f"WITH {RUNS} SELECT stream_id, key, n, first_frame, last_frame, start_us, end_us FROM runs"),

@@ -109,8 +109,20 @@ def test_masks():
 
 def test_line_tracks():
     held = [row(i, "upper line", step=0.04, confidence=0.9 if i % 2 else 0.35) for i in range(8)]
-    found = tracks.tracks(held)
+    dipped = [r | {"text": r["text"] if r["confidence"] > 0.5 else ""} for r in held]
+    found = tracks.tracks(dipped)
     assert [(t["text"], t["items"], t["confident"]) for t in found] == [("upper line", 8, 4)]
-    assert tracks.tracks(held[:4]) == []
+    assert tracks.tracks(held) == []  # a line that every row shows needs no track
+    assert tracks.tracks(dipped[:4]) == []
     jumped = [row(i, "upper line", step=0.04, box=BOX if i < 4 else BOX | {"x": 0.3}) for i in range(8)]
-    assert tracks.tracks(jumped) == []
+    assert tracks.tracks([r | {"text": ""} for r in jumped]) == []
+
+
+def test_tracks_are_one_to_one_and_end_at_their_span():
+    def two(i, y):
+        a, b = row(i, "same", step=0.04), row(i, "same", step=0.04, box=BOX | {"y": y})
+        return a | {"text": "", "lines": [*a["lines"], *b["lines"]]}
+
+    assert [t["items"] for t in tracks.tracks([two(i, 0.27) for i in range(6)])] == [6, 6]
+    slow = [row(i, "long", step=1.0) | {"text": ""} for i in range(40)]
+    assert [t["items"] for t in tracks.tracks(slow)] == [15, 15, 10]
