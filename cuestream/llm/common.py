@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import ctypes
 import pathlib
 import shutil
+import sys
 import tempfile
-import time
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +69,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs whose plans nothing refers to any more; it finds
-    them when the driver's garbage is collected, which may be long after they are of use."""
-    gc.collect()
+    """Let Spark delete the shuffle files of finished jobs whose plans nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()
 
 
+#: What a worker process may forget between stages: memos, and models that are cheap to open again.
+_memos: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+_forget: list[Callable[[], None]] = []
+_stage: int | None = None
+
+
+def forgotten_between_stages(forget: Callable[[], None]) -> None:
+    _forget.append(forget)
+
+
+def begin_task() -> None:
+    """Workers are reused: at the first task of another stage drop what the last one remembered, and give the memory back."""
+    global _stage
+    context = TaskContext.get()
+    if context is None or context.stageId() == _stage:
+        return
+    _stage = context.stageId()
+    for memo in list(_memos.values()):
+        memo.forget()
+    for forget in _forget:
+        forget()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to column dictionaries; casts them to schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -82,6 +115,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str,
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        begin_task()
         for batch in batches:
             for columns in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in target], schema=target)
@@ -95,19 +129,27 @@ def held_out(doc_id: str, divisor: int, remainder: int):
 
 
 class TwoGenerations(dict):
-    """A bounded memo: when it is full the entries not used since the last turn are dropped."""
+    """A memo bounded by bytes: when a generation is full the entries not used since the last turn are dropped."""
+
+    ENTRY_BYTES = 100
 
     def __init__(self, make: Callable[[Any], Any], size: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.used, self.old = make, size, 0, {}
+        _memos[id(self)] = self
+
+    def forget(self) -> None:
+        self.clear()
+        self.used, self.old = 0, {}
 
     def __missing__(self, key):
-        if key in self.old:
-            value = self.old[key]
-        else:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        value = self.old[key] if key in self.old else self.make(key)
+        used = self.ENTRY_BYTES + sys.getsizeof(key) + sys.getsizeof(value)
+        if used > self.size // 8:
+            return value  # a giant is not worth the room of many
+        if self.used + used > self.size:
+            self.old, self.used = dict(self), 0
             self.clear()
         self[key] = value
+        self.used += used
         return value

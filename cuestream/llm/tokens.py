@@ -14,19 +14,20 @@ import re
 from array import array
 from collections.abc import Iterator
 
-from cuestream.llm.common import TwoGenerations
+from cuestream.llm.common import TwoGenerations, forgotten_between_stages
 
 #: A space that isn't followed by text: the quick split at every space is then not safe.
 LOOSE = re.compile(r" (?:\s|\Z)")
 #: A space with text on both sides is a safe cut in any text.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 LATIN = re.compile(r"[\x00-ɏ]*\Z")
-#: Words in one generation of a worker's memo.
-MEMO_WORDS = 250_000
+#: Bytes of one generation of a worker's memo.
+MEMO_BYTES = 32 << 20
 #: Characters worked on at a time; longer texts are cut at safe spaces.
 SEGMENT = 1 << 20
 
 _open: dict[str, "Words"] = {}
+forgotten_between_stages(_open.clear)
 
 
 def library(path: str):
@@ -37,6 +38,12 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that a byte-level vocabulary writes bytes as: printable ones as they are, the others from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 def words(path: str) -> "Words":
     """One memo per worker process and tokenizer file."""
     if path not in _open:
@@ -48,13 +55,13 @@ class Words:
     def __init__(self, path: str):
         self.tok = library(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.ranks = self._ranks(path)
-        self.ids_of = TwoGenerations(lambda w: self._ids(" " + w), MEMO_WORDS)
-        self.count_of = TwoGenerations(lambda w: len(self._ids(" " + w)) // 4, MEMO_WORDS)
+        self.ranks = self._ranks(path, self.tok)
+        self.ids_of = TwoGenerations(lambda w: self._ids(" " + w), MEMO_BYTES)
+        self.count_of = TwoGenerations(lambda w: len(self._ids(" " + w)) // 4, MEMO_BYTES)
 
     @staticmethod
-    def _ranks(path: str):
-        """The encoder of the .tiktoken file of the same name, if there is one."""
+    def _ranks(path: str, tok):
+        """The encoder of the .tiktoken file of the same name, if there is one and it has the same vocabulary."""
         other = path.removesuffix(".json") + ".tiktoken"
         if not os.path.exists(other):
             return None
@@ -65,6 +72,10 @@ class Words:
 
         with open(other, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        special, byte_of = {t.content for t in tok.get_added_tokens_decoder().values()}, byte_letters()
+        vocabulary = {token: i for token, i in tok.get_vocab().items() if token not in special}
+        if len(vocabulary) != len(ranks) or any(ranks.get(bytes(map(byte_of.get, token))) != i for token, i in vocabulary.items()):
+            return None
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _ids(self, piece: str) -> bytes:

@@ -6,11 +6,14 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from cuestream.llm.common import TwoGenerations
 
-MEMO_WORDS = 250_000
+#: Bytes of one generation of a worker's memo.
+MEMO_BYTES = 24 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = re.compile(r"[\W_]+")
 
@@ -33,7 +36,7 @@ class Coder:
     """Codes of the words of texts; one for each worker process and kind of word."""
 
     def __init__(self, split: Callable, code: Callable):
-        self.split, self.memo = split, TwoGenerations(code, MEMO_WORDS)
+        self.split, self.memo = split, TwoGenerations(code, MEMO_BYTES)
 
     def flat(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words, and where each text's begin (one more for the end)."""
@@ -81,13 +84,17 @@ def inside(at: np.ndarray, n: int) -> np.ndarray:
 lower_words = Coder(str.split, lambda w: xxhash.xxh3_64_intdigest(w.lower()))
 
 
-def slices(texts: list, size: int = 4 << 20):
-    """Spans of texts of about so many characters in all, so that their arrays stay small."""
+def slices(texts, size: int = 1 << 20):
+    """Spans of texts (strings or an Arrow array) of about so many bytes in all, so that their arrays stay small."""
+    if isinstance(texts, pa.Array):
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    else:
+        lengths = list(map(len, texts))
     start, total = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > size:
+    for i, length in enumerate(lengths):
+        if i > start and total + length > size:
             yield start, i
             start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        total += length
+    if start < len(lengths):
+        yield start, len(lengths)
