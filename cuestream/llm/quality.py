@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ensem
     fit_rows of them are sent to the documents, and their statistics (no texts) to the driver."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     n = known.count()
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(max(n, 1))) < fit_rows).limit(2 * fit_rows)
+    drawn = known.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(max(n, 1))) < fit_rows)
     stats = statistics(F.col("text"))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", *[c.alias(k) for k, c in stats.items()])
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *stats)).alias("row")).select("row.*", "doc_id").orderBy("doc_id").toPandas()
@@ -164,11 +164,15 @@ def scored(docs: DataFrame, model: Ensemble, text_col: str = "text", threshold:
 
     A null text is scored as an empty one; every text gets a score. Repeated rows score alike. An empty
     table gives an empty result. Columns of docs that clash with the new names are replaced.
+
+    A number of the row, which no filter may be pushed below, stands beside the statistics: a filter on the score
+    would else compute them anew for every condition of every rule.
     """
     stats = statistics(F.col(text_col))
     kept = [c for c in docs.columns if c not in (score, predicted)]
-    named = docs.select(*kept, *[c.alias(f"__{k}") for k, c in stats.items()])
-    out = named.withColumn(score, model.score({k: F.col(f"__{k}") for k in stats})).drop(*[f"__{k}" for k in stats])
+    named = docs.select(*kept, *[c.alias(f"__{k}") for k, c in stats.items()], F.monotonically_increasing_id().alias("__row"))
+    rated = F.when(F.col("__row") >= 0, model.score({k: F.col(f"__{k}") for k in stats})).otherwise(F.lit(0.0))
+    out = named.withColumn(score, rated).drop("__row", *[f"__{k}" for k in stats])
     return out.withColumn(predicted, (F.col(score) >= threshold).cast("int"))
 
 
