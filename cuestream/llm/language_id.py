@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuestream.llm.common import TwoGenerations, checkpointed, held_out, map_batches, table
 
 #: The model is fitted on about so many labelled rows at most.
 FIT_ROWS = 10_000
-#: Words, and n-grams of each length, that the languages together may keep; the most frequent stay.
-MODEL_UNITS = 40_000
 LONGEST_GRAM = 5
 #: What a language loses for a word or n-gram that it never showed.
 PENALTY = 7.0
-MEMO_WORDS = 200_000
+#: Bytes of one generation of a worker's memo.
+MEMO_BYTES = 32 << 20
 #: Costs are kept as integers, in so many parts of one.
 SCALE = 1 << 20
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: A letter, and what letters and their marks follow it; numerals and digits are no letters.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SEGMENT = 1 << 20
 
 
@@ -34,7 +35,7 @@ def words(text: str) -> Iterator[list[str]]:
     start = 0
     while start < len(text):
         end = min(len(text), start + SEGMENT)
-        while end < len(text) and text[end].isalpha():
+        while end < len(text) and unicodedata.category(text[end])[0] in "LM":
             end += 1
         yield WORD.findall(text[start:end].lower())
         start = end
@@ -45,16 +46,39 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Units:
+    """Costs of the words, or of the n-grams of one length, by a 64-bit hash of the unit: flat arrays, so that a model
+    of millions of units is small in every worker. Languages that never showed a unit have no cost there."""
+
+    def __init__(self, units: list[str], langs: np.ndarray, costs: np.ndarray, languages: int):
+        codes = np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64)
+        order = np.lexsort((langs, codes))
+        self.languages, self.langs, self.costs = languages, langs[order].astype(np.int32), costs[order].astype(np.float32)
+        self.codes, self.starts = np.unique(codes[order], return_index=True)
+        self.starts = np.r_[self.starts, len(order)]
+
+    def known(self, units: list[str]) -> np.ndarray:
+        """A row of costs for each of the units that is known."""
+        codes = np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        at = at[self.codes[at] == codes] if len(self.codes) else at[:0]
+        rows = np.full((len(at), self.languages), PENALTY)
+        for row, i in zip(rows, at, strict=True):
+            span = slice(self.starts[i], self.starts[i + 1])
+            row[self.langs[span]] = self.costs[span]
+        return rows
+
+
 class Model:
-    """languages: in order; costs: of units by their length in characters (0: words), by language.
+    """languages: in order; costs: Units by their length in characters (0: words).
 
     A word's costs are packed into one integer, a lane of 64 bits for each language, so that the costs
     of a text are one exact sum in any order.
     """
 
-    def __init__(self, languages: list[str], costs: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], costs: list[Units]):
         self.languages, self.costs = languages, costs
-        self.memo = TwoGenerations(lambda w: self.pack(self.cost(w)), MEMO_WORDS)
+        self.memo = TwoGenerations(lambda w: self.pack(self.cost(w)), MEMO_BYTES)
 
     def __reduce__(self):
         return Model, (self.languages, self.costs)
@@ -65,13 +89,12 @@ class Model:
 
     def cost(self, word: str) -> np.ndarray:
         """Known words cost their negative log frequency; else the longest known n-grams' mean."""
-        if word in self.costs[0]:
-            return self.costs[0][word]
+        found = self.costs[0].known([word])
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [self.costs[n][g] for g in grams(word, n) if g in self.costs[n]]
-            if found:
-                return np.mean(found, axis=0)
-        return np.full(len(self.languages), PENALTY)
+            if len(found):
+                break
+            found = self.costs[n].known(grams(word, n))
+        return found.mean(axis=0) if len(found) else np.full(len(self.languages), PENALTY)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, n = 0, 0
@@ -107,15 +130,17 @@ def train(labelled: DataFrame, row_id: str = "doc_id", fit_rows: int = FIT_ROWS)
                 yield {"lang": [lang] * len(of_grams), "n": [n] * len(of_grams), "unit": list(of_grams), "k": list(of_grams.values())}
 
     counted = map_batches(known, units, "lang string, n int, unit string, k long").groupBy("lang", "n", "unit").agg(F.sum("k").alias("k"))
-    counted = counted.withColumn("total", F.sum("k").over(W.partitionBy("lang", "n")))
-    counted = counted.withColumn("nth", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("k"), "unit"))).where(F.col("nth") <= MODEL_UNITS)
-    top = checkpointed(counted)
-    languages = [r["lang"] for r in top.select("lang").distinct().orderBy("lang").collect()]
-    costs: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
-    most = MODEL_UNITS // max(1, len(languages))
-    kept = top.where(F.col("nth") <= most).select("lang", "n", "unit", F.least(F.lit(PENALTY), -F.log10(F.col("k") / F.col("total"))).alias("cost"))
-    for lang, n, unit, cost in zip(*(c.to_pylist() for c in kept.toArrow().columns), strict=True):
-        costs[n].setdefault(unit, np.full(len(languages), PENALTY))[languages.index(lang)] = cost
+    totals = counted.groupBy("lang", "n").agg(F.sum("k").alias("total"))
+    cost = F.least(F.lit(PENALTY), -F.log10(F.col("k") / F.col("total"))).alias("cost")
+    # As large as the bounded sample's texts make it: nothing of them is left out.
+    kept = checkpointed(counted.join(F.broadcast(totals), ["lang", "n"]).select("lang", "n", "unit", cost))
+    languages = [r["lang"] for r in kept.select("lang").distinct().orderBy("lang").collect()]
+    place = {lang: i for i, lang in enumerate(languages)}
+    costs = []
+    for n in range(LONGEST_GRAM + 1):
+        part = kept.where(F.col("n") == n).drop("n").toArrow()
+        langs = np.array([place[x] for x in part["lang"].to_pylist()], np.int32)
+        costs.append(Units(part["unit"].to_pylist(), langs, part["cost"].to_numpy(), len(languages)))
     return Model(languages, costs)
 
 
@@ -123,7 +148,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Columns id_col, lang_pred, score: one row for each row of docs.
 
     A null text, and one without a letter, is `und` with score 0. Equal costs go to the first language
-    in the alphabet. Words are runs of letters; whole texts are read, a segment at a time. Repeated
+    in the alphabet. Words are runs of letters and their marks; whole texts are read, a segment at a time. Repeated
     rows are each predicted. Extra columns are left out. An empty table gives an empty result; a model
     that learned no language says `und` of everything.
     """
