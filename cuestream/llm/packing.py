@@ -18,17 +18,19 @@ from cuestream.llm.common import checkpointed, map_batches, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Rounds of multiplicative weights; what they leave is packed by best fit.
-ROUNDS = 150
-#: The share of the scarcest length's demand that one round may serve, and how fast a length that
-#: has been served loses weight.
-STEP, RATE = 0.25, 0.5
+#: Rounds of multiplicative weights in one solution of the program, and how often what rounding leaves is solved again.
+ROUNDS, SOLUTIONS = 24, 8
+#: A round serves configurations worth this share of the dearest, each up to so much of its scarcest length's demand.
+WORTH, STEP = 0.98, 0.5
+#: How fast a length loses weight as its demand is served.
+RATE = 0.5
 
 Plan = list[tuple[dict[int, int], int]]
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the greatest value: an unbounded knapsack, by dynamic programming."""
+def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """An unbounded knapsack by dynamic programming: for every room the greatest value of a configuration, and the
+    place among lengths of an item that one takes (-1: none, the room below is as good)."""
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for room in range(int(lengths[0]), capacity + 1):
         fits = int(np.searchsorted(lengths, room, "right"))
@@ -37,33 +39,77 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, i
         if got[k] > best[room - 1]:
             best[room], take[room] = got[k], k
         else:
-            best[room], take[room] = best[room - 1], -2
+            best[room] = best[room - 1]
+    return best, take
+
+
+def configuration(lengths: np.ndarray, take: np.ndarray, room: int) -> Counter[int]:
+    """What the knapsack takes into a room."""
     config: Counter[int] = Counter()
-    room = capacity
     while room >= lengths[0]:
-        if take[room] == -2:
+        if take[room] < 0:
             room -= 1
-        elif take[room] < 0:
-            break
         else:
             config[int(lengths[take[room]])] += 1
             room -= int(lengths[take[room]])
-    return dict(config)
-
-
-def fill(config: dict[int, int], left: dict[int, int], capacity: int) -> dict[int, int]:
-    """Clip a configuration to what is left, and fill the room that frees with the longest that fit."""
-    config = {n: min(k, left.get(n, 0)) for n, k in config.items() if left.get(n, 0)}
-    room = capacity - sum(n * k for n, k in config.items())
-    if room:
-        for n in sorted((n for n in left if n <= room and left[n] > config.get(n, 0)), reverse=True):
-            k = min(room // n, left[n] - config.get(n, 0))
-            if k > 0:
-                config[n] = config.get(n, 0) + k
-                room -= k * n
     return config
 
 
+def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Multiplicative weights on the covering program: (fractions of sequences by configuration, lower bound).
+
+    The dual prices begin at the lengths, long ones somewhat dearer as they combine with fewer others, and a length
+    loses weight by the share of its demand that has been served. Each round one knapsack prices all configurations:
+    for every length the dearest one that holds it comes from the same table, and those worth nearly as much as the
+    dearest of all serve a step. Any prices bound the program from below, by the demand's value over the
+    dearest configuration's.
+    """
+    lengths = np.array(sorted(demand))
+    left = {n: float(k) for n, k in demand.items()}
+    fractions: Counter[tuple[tuple[int, int], ...]] = Counter()
+    bound = sum(n * k for n, k in demand.items()) / capacity
+    for turn in range(rounds):
+        lengths = np.array([n for n in lengths.tolist() if left[n] > 1e-6])
+        if not len(lengths):
+            break
+        served = np.array([1 - left[n] / demand[n] for n in lengths.tolist()])
+        values = lengths * (1 + lengths / capacity) * np.exp(-RATE * served)
+        best, take = price(lengths, values, capacity)
+        if not turn:
+            bound = max(bound, float(values @ np.array([demand[n] for n in lengths.tolist()]) / best[capacity]))
+        worth = values + best[capacity - lengths]
+        least = WORTH * best[capacity]
+        moved = False
+        for i in np.flatnonzero((worth >= least) | (np.arange(len(lengths)) == np.argmax(worth)))[::-1].tolist():
+            n = int(lengths[i])
+            if left[n] <= 1e-6:
+                continue
+            config = configuration(lengths, take, capacity - n)
+            config[n] += 1
+            step = min(left[m] / k for m, k in config.items())
+            if step <= 1e-6:
+                continue
+            step = step if step <= 1 else max(1.0, STEP * step)
+            fractions[tuple(sorted(config.items(), reverse=True))] += step
+            for m, k in config.items():
+                left[m] -= step * k
+            moved = True
+        if not moved:
+            break
+    return dict(fractions), bound
+
+
+def serve(config: tuple[tuple[int, int], ...], copies: int, left: dict[int, int], plan: Counter) -> None:
+    """Take as many whole copies as what is left allows."""
+    copies = min(copies, *(left.get(n, 0) // k for n, k in config))
+    if copies > 0:
+        plan[config] += copies
+        for n, k in config:
+            left[n] -= k * copies
+            if not left[n]:
+                del left[n]
+
+
 def best_fit(left: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing on a histogram: items of one length go to bins with equal room at once."""
     rooms: dict[int, list[tuple[dict[int, int], int]]] = {}
@@ -88,37 +134,40 @@ def best_fit(left: dict[int, int], capacity: int) -> Plan:
     return [x for made in rooms.values() for x in made if x[1]]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, report: dict | None = None) -> Plan:
     """Configurations (length: how many) with how many sequences use each; every piece is in one.
 
-    The covering program asks for each length's demand with as few sequences as possible. Its dual
-    prices begin at the lengths, long ones somewhat dearer as they combine with fewer others, and lose
-    weight by the share of the demand that has been served;
-    each round the knapsack finds the dearest configuration and serves a step of it. Serving whole
-    copies only, within what is left, rounds the solution as it grows; lengths left over when the
-    rounds are up, or when every copy is a single one, are packed by best fit.
+    The configuration program is solved over the lengths that occur and rounded: whole copies of each fraction, then
+    single copies, the greatest rest first, as long as a whole one is left. What rounding leaves is a program of
+    its own and is solved again; lengths that no rounding serves any more are packed by best fit. report takes
+    `placed` (pieces by configurations), `pieces`, `bound` (of the program) and `sequences`.
     """
     left = {int(n): int(k) for n, k in histogram.items() if k > 0}
+    pieces, bound = sum(left.values()), 0.0
     plan: Counter[tuple[tuple[int, int], ...]] = Counter()
     if capacity in left:
+        bound = float(left[capacity])
         plan[((capacity, 1),)] += left.pop(capacity)
-    demand = dict(left)
-    for _ in range(rounds):
+    for turn in range(SOLUTIONS):
+        before = sum(left.values())
         if not left:
             break
-        lengths = np.array(sorted(left))
-        served = np.array([1 - left[n] / demand[n] for n in sorted(left)])
-        config = fill(price(lengths, lengths * (1 + lengths / capacity) * np.exp(-RATE * served), capacity), left, capacity)
-        copies = min(left[n] // k for n, k in config.items())
-        step = max(1, int(min(STEP * demand[n] / k for n, k in config.items())))
-        use = min(copies, step)
-        plan[tuple(sorted(config.items(), reverse=True))] += use
-        for n, k in config.items():
-            left[n] -= k * use
-            if not left[n]:
-                del left[n]
+        fractions, least = solve(left, capacity, rounds)
+        bound += least if not turn else 0
+        # Room that a configuration wastes is lost for good, so those without any come first.
+        full = [c for c in fractions if sum(n * k for n, k in c) == capacity]
+        full = full if sum(fractions[c] for c in full) > least / 2 else list(fractions)
+        for config in sorted(full, key=lambda c: (-fractions[c], c)):
+            serve(config, int(fractions[config]), left, plan)
+        for config in sorted(full, key=lambda c: (int(fractions[c]) - fractions[c], c)):
+            serve(config, 1, left, plan)
+        if sum(left.values()) > 0.98 * before:
+            break
+    placed = pieces - sum(left.values())
     for config, k in best_fit(left, capacity):
         plan[tuple(sorted(config.items(), reverse=True))] += k
+    if report is not None:
+        report |= {"placed": placed, "pieces": pieces, "bound": bound, "sequences": sum(plan.values())}
     return [(dict(c), k) for c, k in plan.items()]
 
 
@@ -152,7 +201,7 @@ def pack(
     A null or empty text is a document of the end id alone. Repeated rows are packed each. Documents
     over capacity are cut, the first piece taking the remainder. Extra columns are left out. An empty
     table gives an empty result. Only the histogram of lengths, of at most capacity rows, and the plan
-    made from it, of at most (rounds + capacity) configurations, reach the driver; pieces of one length
+    made from it, of configurations that grow with the lengths and not with the documents, reach the driver; pieces of one length
     take their places by rank, counted within a partition and offset by the partitions before.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
