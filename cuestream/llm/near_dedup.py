@@ -63,12 +63,12 @@ def prob_min_hash(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """doc_id, f1, f2 (a fingerprint of the words; null without words), bands."""
+    """doc_id, h (a hash of the text), f1, f2 (a fingerprint of the words; null without words), bands."""
 
     def sign(batch: pa.RecordBatch):
-        ids, texts = batch["doc_id"], [t.as_py() or "" for t in batch["text"]]
+        ids, marks, texts = batch["doc_id"], batch["h"], batch["text"]
         for a, b in slices(texts):
-            codes, at, owner, hashes, _ = shingles(texts[a:b])
+            codes, at, owner, hashes, _ = shingles([t.as_py() or "" for t in texts[a:b]])
             # Every shingle weighs 1: registers agree with the chance of the similarity that links are verified by.
             signature = prob_min_hash(owner, hashes, np.ones(len(hashes)), b - a, BANDS * ROWS)
             bands = windows(signature.ravel(), ROWS)[::ROWS].reshape(b - a, BANDS) if b > a else np.zeros((0, BANDS), np.uint64)
@@ -76,11 +76,11 @@ def _signed(rows: DataFrame) -> DataFrame:
             prints = [xxhash.xxh3_128_digest(codes[i:j].tobytes()) if j > i else None for i, j in zip(at, at[1:], strict=False)]
             offsets = pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32))
             yield {
-                "doc_id": ids.slice(a, b - a), "f1": [x and int.from_bytes(x[:8], "little", signed=True) for x in prints], "f2": [x and int.from_bytes(x[8:], "little", signed=True) for x in prints],
+                "doc_id": ids.slice(a, b - a), "h": marks.slice(a, b - a), "f1": [x and int.from_bytes(x[:8], "little", signed=True) for x in prints], "f2": [x and int.from_bytes(x[8:], "little", signed=True) for x in prints],
                 "bands": pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())),
             }
 
-    return map_batches(rows, sign, "doc_id long, f1 long, f2 long, bands array<long>")
+    return map_batches(rows, sign, "doc_id long, h long, f1 long, f2 long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -162,33 +162,25 @@ def _links_in_buckets(at: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.join(texts, "node").groupBy("bucket", "one", "two").applyInPandas(link, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id_col, class_id (the least id of its group): one row for each row of docs.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
-    Words are split at white space without regard to case; two documents are linked if the Jaccard
-    similarity of their sets of five-word shingles is 0.8 or more (a text of fewer words is one shingle), and
-    groups are what links connect. Documents of equal words are copies and are collapsed first, so a
-    group of copies of any size is one node. A null text, and one without words, is alone. Rows with one
-    id are one document. A null id takes a number made from its text. Extra columns are left out. An
-    empty table gives an empty result.
 
-    In every bucket of a band all nodes are compared with the least, which connects large groups without
-    their pairs; then buckets whose nodes are still in different components are compared as a whole, block
-    by block, so no link is lost.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(rows: DataFrame) -> DataFrame:
+    """doc_id, h, class_id, stands: of every row its group, and whether it stands for it, which only equal rows share."""
     signed = written(_signed(rows))
     worded = signed.where(F.col("f1").isNotNull())
-    nodes = worded.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    nodes = checkpointed(nodes.withColumn("node", F.coalesce("node", "f1")))
+    # A node is a sequence of words, whatever ids say it; a row with it, by id and text, shows where its text is.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")).alias("at")
+    nodes = worded.groupBy("f1", "f2").agg(least, F.any_value("bands").alias("bands"))
+    nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "at", "bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(buckets.join(leaders, "bucket"))
     pairs = buckets.where("u != node").select("u", F.col("node").alias("v")).distinct()
-    # A node's text is that of the row with its id and words; texts without a partner are not sent.
-    in_pairs = buckets.select("node").distinct()
-    keyed = signed.select("doc_id", "f1", "f2").join(nodes.select("f1", "f2", "node"), ["f1", "f2"])
-    texts = rows.join(in_pairs.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
+    # Texts without a partner are not sent.
+    sought = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("at.doc_id").alias("of"), F.col("at.h").alias("of_h"))
+    texts = rows.join(sought, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("node", "text").dropDuplicates(["node"])
     links = checkpointed(_verified(pairs, texts))
     found = checkpointed(components(links))
     at = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -198,23 +190,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = checkpointed(_links_in_buckets(at, texts))
         if more.take(1):
             found = checkpointed(components(links.union(more)))
-    classed = keyed.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
-    alone = signed.where(F.col("f1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    return classed.union(alone).withColumnRenamed("doc_id", id_col)
+    linked = found.join(nodes.select("node", "f1", "f2", "at"), "node")
+    groups = linked.groupBy("component").agg(F.min(F.struct("at", "f1", "f2")).alias("low"))
+    grouped = linked.select("f1", "f2", "component").join(groups, "component").select("f1", "f2", "low")
+    alone = nodes.join(grouped, ["f1", "f2"], "left_anti").select("f1", "f2", F.struct("at", "f1", "f2").alias("low"))
+    classed = worded.select("doc_id", "h", "f1", "f2").join(grouped.union(alone), ["f1", "f2"])
+    stands = F.col("doc_id").eqNullSafe(F.col("low.at.doc_id")) & (F.col("h") == F.col("low.at.h")) & (F.col("f1") == F.col("low.f1")) & (F.col("f2") == F.col("low.f2"))
+    classed = classed.select("doc_id", "h", F.coalesce("low.at.doc_id", "low.f1").alias("class_id"), stands.alias("stands"))
+    without = signed.where(F.col("f1").isNull()).select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(None).cast("boolean").alias("stands"))
+    return classed.union(without)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns id_col, class_id (the least id of its group): one row for each row of docs.
+
+    Words are split at white space without regard to case; two documents are linked if the Jaccard
+    similarity of their sets of five-word shingles is 0.8 or more (a text of fewer words is one shingle), and
+    groups are what links connect. Documents of equal words are copies and are collapsed first, so a
+    group of copies of any size is one node. A null text, and one without words, is alone. Rows that share an id, or
+    have none, are told by their texts: each is in the group of its own text. A group without any id takes a number made from
+    a text. Extra columns are left out. An empty table gives an empty result.
+
+    In every bucket of a band all nodes are compared with the least, which connects large groups without
+    their pairs; then buckets whose nodes are still in different components are compared as a whole, block
+    by block, so that no link of a bucket is lost.
+    """
+    return _classes(_rows(docs, id_col, text_col)).select(F.col("doc_id").alias(id_col), "class_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their group, with all their columns; of repeated rows of one id
-    one stays. Rows whose id is null, or whose text is null or without words, all stay."""
-    classed = checkpointed(near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()))
-    repeated = classed.groupBy(id_col).count().where("count > 1").select(id_col)
-    later = classed.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    kept = docs.join(later, id_col, "left_anti").select(docs.columns)
-    if not repeated.take(1):
-        return kept
-    worded = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0
-    several = kept.join(repeated, id_col, "left_semi").where(worded).select(docs.columns)
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).union(several.dropDuplicates([id_col])).union(kept.join(repeated, id_col, "left_semi").where(~worded).select(docs.columns))
+    """docs with one row of each group, with all columns: that of the least id; of equal rows one. Rows whose text is null
+    or without words all stay."""
+    key = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64(text_col)}
+    rows = checkpointed(_classes(_rows(docs, id_col, text_col)).where("stands is not null").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("h").alias("__h"), "stands"))
+    later = rows.where("not stands").select("__id", "__h").distinct()
+    again = checkpointed(rows.where("stands").groupBy("__id", "__h").count().where("count > 1").drop("count"))
+    kept = docs.withColumns(key).join(later, ["__id", "__h"], "left_anti")
+    if not again.take(1):
+        return kept.select(docs.columns)
+    one = kept.join(again, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+    return kept.join(again, ["__id", "__h"], "left_anti").select(docs.columns).union(one.select(docs.columns))
 
 
 def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
