@@ -68,11 +68,6 @@ def ship(spark: SparkSession) -> None:
         _shipped = spark.sparkContext.applicationId
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs whose plans nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
-
-
 #: What a worker process may forget between stages: memos, and models that are cheap to open again.
 _memos: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
 _forget: list[Callable[[], None]] = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuestream.llm.common import map_batches, release, ship, table, written
+from cuestream.llm.common import begin_task, map_batches, ship, table, written
 from cuestream.llm.wordcodes import BASE, byte_words, inside, mix, slices, windows
 
 #: Words of a window.
@@ -102,9 +102,9 @@ def anchors(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(batch: pa.RecordBatch):
-    ids, texts = batch["doc_id"], [t.as_py() or b"" for t in batch["text"]]
+    ids, texts = batch["doc_id"], batch["text"]
     for a, b in slices(texts):
-        yield ids.slice(a, b - a), texts[a:b]
+        yield ids.slice(a, b - a), [t.as_py() or b"" for t in texts[a:b]]
 
 
 def prints_of(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -112,8 +112,8 @@ def prints_of(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(codes[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], np.uint64).view(np.int64)
 
 
-#: Marks windows that a slice of the texts has settled by itself.
-LEAST = -(1 << 63)
+#: Marks windows that a batch has settled by itself.
+SETTLED = -1
 
 
 def _spread(n: int, ids: np.ndarray) -> np.ndarray:
@@ -167,14 +167,21 @@ def _spans(base: DataFrame) -> DataFrame:
     return map_batches(base, find, "name long, of long, span long")
 
 
+def _runs_of(order: np.ndarray, starts: np.ndarray, places: np.ndarray) -> list[bytes]:
+    """The places of each group, as bytes."""
+    ends, of = np.r_[starts[1:], len(order)], places.astype("<i4")[order]
+    return [of[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def _windows(candidates: DataFrame) -> DataFrame:
-    """doc_id, of, place, w1, w2, low: the words' hash of every window whose anchor is shared.
+    """doc_id, of, place, more, w1, w2: the words' hash of every window whose anchor is shared, once for a document: place is
+    where it begins first, more has all its places where there are several.
 
-    A slice settles windows that a document of its own with a smaller id has: low is LEAST, and
-    they go on under a key of their own. In all others low is the id."""
+    A batch settles windows that a document of its own with a smaller id has: they go on in one row for each document,
+    with place SETTLED and under a key of its own. So what many documents, or many lines of one, share is not dealt to one task."""
 
     def find(batch: pa.RecordBatch):
-        spans, of, row = batch["spans"], batch["of"].to_numpy(), 0
+        spans, of, row, found = batch["spans"], batch["of"].to_numpy(), 0, []
         for ids, texts in _texts(batch):
             ids = ids.to_numpy()
             codes, at = byte_words.flat(texts)
@@ -187,16 +194,31 @@ def _windows(candidates: DataFrame) -> DataFrame:
             # Rows with one id meet each other's spans; only a text's own are its windows.
             good = (own == meant)[owner]
             place, owner = place[good], owner[good]
-            doc, w1, w2 = ids[owner], one[place].view(np.int64), two[place].view(np.int64)
-            order, starts = _groups(doc, w1, w2)
-            least = np.zeros(len(order), np.int64)
-            least[order] = np.repeat(doc[order][starts], np.diff(np.r_[starts, len(order)]))
-            settled = least < doc
+            found.append((ids[owner], own[owner], place - at[owner], one[place].view(np.int64), two[place].view(np.int64)))
+        doc, own, place, w1, w2 = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+        order, starts = _groups(doc, w1, w2)
+        least = np.zeros(len(order), np.int64)
+        least[order] = np.repeat(doc[order][starts], np.diff(np.r_[starts, len(order)]))
+        settled = np.flatnonzero(least < doc)
+        if len(settled):
+            by, at_doc = _groups(place[settled], own[settled], doc[settled])
+            first = settled[by[at_doc]]
             yield {
-                "doc_id": doc, "of": own[owner], "place": place - at[owner], "w1": np.where(settled, 0, w1), "w2": np.where(settled, _spread(len(doc), doc), w2), "low": np.where(settled, LEAST, doc),
+                "doc_id": doc[first], "of": own[first], "place": np.full(len(first), SETTLED), "more": _runs_of(by, at_doc, place[settled]), "w1": np.zeros(len(first), np.int64), "w2": _spread(len(first), doc[first]),
             }
+        kept = np.flatnonzero(least == doc)
+        by, at_window = _groups(place[kept], own[kept], doc[kept], w1[kept], w2[kept])
+        first, several = kept[by[at_window]], np.diff(np.r_[at_window, len(by)]) > 1
+        more = [m if s else None for m, s in zip(_runs_of(by, at_window, place[kept]), several.tolist(), strict=True)] if several.any() else pa.nulls(len(first), pa.binary())
+        yield {"doc_id": doc[first], "of": own[first], "place": place[first], "more": more, "w1": w1[first], "w2": w2[first]}
+
+    return map_batches(candidates, find, "doc_id long, of long, place int, more binary, w1 long, w2 long")
+
 
-    return map_batches(candidates, find, "doc_id long, of long, place int, w1 long, w2 long, low long")
+def places_of(found: dict) -> np.ndarray:
+    """All places of a document's windows."""
+    alone = np.array([p for p, m in zip(found["places"], found["more"], strict=True) if m is None], np.int64)
+    return np.concatenate([alone, *(np.frombuffer(m, "<i4") for m in found["more"] if m is not None)])
 
 
 def kept_words(text: bytes, places: np.ndarray) -> list[bytes]:
@@ -231,20 +253,18 @@ def _candidates(base: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def repeats(base: DataFrame, digests: DataFrame) -> DataFrame:
-    """doc_id, of, places: where windows begin that also begin in a document with a smaller id; texts that have
+    """doc_id, of, places, more: where windows begin that also begin in a document with a smaller id; texts that have
     some and are no copies, all of whose windows are repeats."""
     lists = _candidates(base, digests)
-    release(base.sparkSession)
-    least = F.min("low").over(W.partitionBy("w1", "w2"))
-    later = _windows(base.join(lists, "doc_id")).withColumn("least", least).where("least < doc_id")
-    places = written(later.groupBy("doc_id", "of").agg(F.collect_list("place").alias("places")))
-    del later
-    release(base.sparkSession)
-    return places
+    least = F.min("doc_id").over(W.partitionBy("w1", "w2"))
+    later = _windows(base.join(lists, "doc_id")).withColumn("least", least).where(f"place = {SETTLED} or least < doc_id")
+    found = F.struct("place", "more")
+    listed = later.groupBy("doc_id", "of").agg(F.collect_list(found).alias("w"))
+    return written(listed.select("doc_id", "of", F.transform("w", lambda x: x["place"]).alias("places"), F.transform("w", lambda x: x["more"]).alias("more")))
 
 
 def _by_id(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("of", "places")).alias("found"))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("of", "places", "more")).alias("found"))
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -259,7 +279,7 @@ def _cut(batch: pa.RecordBatch, text_col: str = "text"):
         text = text.encode() if isinstance(text, str) else text or b""
         own = int(prints_of(*byte_words.flat([text]))[0]) if found else None
         mine = next((f for f in found or () if f["of"] == own), None)
-        yield text, None if mine is None else [] if mine["places"] is None else kept_words(text, np.asarray(mine["places"], np.int64))
+        yield text, None if mine is None else [] if mine["places"] is None else kept_words(text, places_of(mine))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,7 +322,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = _base(docs, id_col, text_col)
     digests = _copies(base)
     repeated = repeats(base, digests)
-    copies = digests.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("doc_id", "of", F.lit(None).cast("array<int>").alias("places")).distinct()
+    copies = digests.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("doc_id", "of", F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<binary>").alias("more")).distinct()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     changed = _by_id(repeated.union(copies)).withColumnRenamed("doc_id", "__id")
     joined = docs.withColumn("__id", key).join(changed, "__id", "left").drop("__id")
@@ -310,6 +330,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = order.index(text_col)
 
     def trim(batches):
+        begin_task()
         for batch in batches:
             texts = [old.as_py() if words is None else b" ".join(words).decode() for (_, words), old in zip(_cut(batch, text_col), batch[text_col], strict=True)]
             columns = [batch[c] for c in order]
