@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuestream.llm.common import map_batches, ship, table
-from cuestream.llm.wordcodes import BASE, drop_empty, inside, plain_words, windows
+from cuestream.llm.common import begin_task, map_batches, ship, table
+from cuestream.llm.wordcodes import BASE, drop_empty, inside, plain_words, slices, windows
 
 #: Words of the shortest match that counts, and the share of an item that matches must cover.
 LEAST_MATCH = 5
@@ -23,26 +23,38 @@ _TABLE_BITS = 22
 
 
 @dataclass
-class Tests:
-    """A bounded block of benchmark items: codes of their words, and the places of each seed."""
+class Seeds:
+    """The places of each seed of n words in the items that have such seeds."""
 
-    ids: list
-    codes: list[np.ndarray]
+    n: int
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
 
+
+@dataclass
+class Tests:
+    """A bounded block of benchmark items: codes of their words, and their seeds by length."""
+
+    ids: list
+    codes: list[np.ndarray]
+    seeds: list[Seeds]
+
     @staticmethod
     def of(ids: list, texts: list[str | None], least: int = LEAST_MATCH) -> "Tests":
         codes, at = drop_empty(*plain_words.flat([t or "" for t in texts]))
-        seeds, valid = windows(codes, least), inside(at, least)
-        place = np.flatnonzero(valid)
-        owner = np.searchsorted(at, place, "right") - 1
-        order = np.argsort(seeds[place], kind="stable")
-        maybe = np.zeros(1 << _TABLE_BITS, bool)
-        maybe[(seeds[place] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        return Tests(list(ids), [codes[a:b] for a, b in zip(at, at[1:], strict=False)], seeds[place][order], owner[order], (place - at[owner])[order], maybe)
+        # An item of fewer words than a seed is a seed as a whole.
+        length, found = np.minimum(np.diff(at), least), []
+        for n in np.unique(length[length > 0]).tolist():
+            seeds, valid = windows(codes, n), inside(at, n)
+            owner = np.searchsorted(at, np.arange(len(seeds)), "right") - 1
+            place = np.flatnonzero(valid & (length[owner] == n))
+            order = np.argsort(seeds[place], kind="stable")
+            maybe = np.zeros(1 << _TABLE_BITS, bool)
+            maybe[(seeds[place] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+            found.append(Seeds(n, seeds[place][order], owner[place][order], (place - at[owner[place]])[order], maybe))
+        return Tests(list(ids), [codes[a:b] for a, b in zip(at, at[1:], strict=False)], found)
 
 
 def _rolling(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,30 +117,58 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = LEAST_MATCH) -> list[tu
     return tiles
 
 
-def matches(texts: list[str], tests: Tests, least: int = LEAST_MATCH, coverage: float = COVERAGE) -> Iterator[tuple[int, int, int, int]]:
+def _near_seeds(codes: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """The words of a text that its seeds at places cover, with a word of no item between runs of them."""
+    cover = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(cover, places, 1)
+    np.add.at(cover, places + n, -1)
+    kept = np.cumsum(cover[:-1]) > 0
+    # The first word after a run stays as a bar; codes of words are never 0.
+    bar = np.r_[False, kept[:-1]] & ~kept
+    return np.where(kept, codes, np.uint64(0))[kept | bar]
+
+
+def matches(texts: list[str], tests: Tests, coverage: float = COVERAGE) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, covered words, tiles) where tiles cover the share of the item that is asked for."""
     codes, at = drop_empty(*plain_words.flat(texts))
-    seeds = windows(codes, least)
-    hit = np.flatnonzero(tests.maybe[(seeds >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] & inside(at, least))
-    low = np.searchsorted(tests.seeds, seeds[hit], "left")
-    n = np.searchsorted(tests.seeds, seeds[hit], "right") - low
-    owner = np.repeat(np.searchsorted(at, hit, "right") - 1, n)
-    ref = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    # Distinct (text, item, place in item); tiles can't cover more of an item than its seeds do.
-    found = np.unique(np.stack([owner, tests.item[ref], tests.place[ref]], axis=1), axis=0)
-    ends = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1), True]) if len(found) else [0]
-    for a, b in zip(ends, ends[1:], strict=False):
-        text, item = int(found[a, 0]), int(found[a, 1])
-        words = tests.codes[item]
-        most = np.zeros(len(words) + 1, np.int64)
-        np.add.at(most, found[a:b, 2], 1)
-        np.add.at(most, found[a:b, 2] + least, -1)
-        if (np.cumsum(most) > 0).sum() < coverage * len(words):
+    for s in tests.seeds:
+        seeds = windows(codes, s.n)
+        hit = np.flatnonzero(s.maybe[(seeds >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] & inside(at, s.n))
+        hit = hit[s.seeds[np.minimum(np.searchsorted(s.seeds, seeds[hit]), len(s.seeds) - 1)] == seeds[hit]]
+        if not len(hit):
             continue
-        tiles = tile(codes[at[text] : at[text + 1]], words, least)
-        covered = sum(t[2] for t in tiles)
-        if covered >= coverage * len(words):
-            yield text, item, covered, len(tiles)
+        of = np.searchsorted(at, hit, "right") - 1
+        # A text's distinct seeds, and their places in items; tiles can't cover more of an item than its seeds do.
+        each = np.unique(np.stack([of.astype(np.uint64), seeds[hit]], axis=1), axis=0)
+        low = np.searchsorted(s.seeds, each[:, 1], "left")
+        n = np.searchsorted(s.seeds, each[:, 1], "right") - low
+        owner = np.repeat(each[:, 0].astype(np.int64), n)
+        ref = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((s.place[ref], s.item[ref], owner))
+        owner, ref = owner[order], ref[order]
+        item = s.item[ref]
+        ends = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]), True])
+        for a, b in zip(ends, ends[1:], strict=False):
+            text, which = int(owner[a]), int(item[a])
+            words = tests.codes[which]
+            most = np.zeros(len(words) + 1, np.int64)
+            np.add.at(most, s.place[ref[a:b]], 1)
+            np.add.at(most, s.place[ref[a:b]] + s.n, -1)
+            if (np.cumsum(most) > 0).sum() < coverage * len(words):
+                continue
+            own = slice(*np.searchsorted(of, [text, text + 1]))
+            places = hit[own][np.isin(seeds[hit[own]], s.seeds[ref[a:b]])] - at[text]
+            tiles = tile(_near_seeds(codes[at[text] : at[text + 1]], places, s.n), words, s.n)
+            covered = sum(t[2] for t in tiles)
+            if covered >= coverage * len(words):
+                yield text, which, covered, len(tiles)
+
+
+def found_in(texts: pa.Array, tests: Tests, coverage: float) -> Iterator[tuple[int, int, int, int]]:
+    """matches of a column, a slice of its texts at a time."""
+    for a, b in slices(texts):
+        for text, *rest in matches([t.as_py() or "" for t in texts[a:b]], tests, coverage):
+            yield a + text, *rest
 
 
 def _blocks(benchmark: DataFrame, least: int) -> Iterator[Tests]:
@@ -148,8 +188,8 @@ def contaminated(
 
     Words are compared without case and marks. Tiles are runs of at least `least` shared words that
     overlap neither in the document nor in the item, the longest first, wherever they stand: a reordered
-    passage is found too. Items of fewer words than that are not looked for. Null and empty texts hold
-    nothing. Repeated documents and items give a row each. Extra columns are left out. Empty tables give
+    passage is found too. An item of fewer words than that is looked for as a whole. Null and empty texts, and items without
+    words, hold nothing. Repeated documents and items give a row each. Extra columns are left out. Empty tables give
     an empty result.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
@@ -161,7 +201,7 @@ def contaminated(
 
         def find(batch: pa.RecordBatch, shared=shared):
             tests, ids = shared.value, batch["doc_id"].to_pylist()
-            found = list(matches([t.as_py() or "" for t in batch["text"]], tests, least, coverage))
+            found = list(found_in(batch["text"], tests, coverage))
             words = [len(tests.codes[i]) for _, i, _, _ in found]
             covered = [c for _, _, c, _ in found]
             yield {"doc_id": [ids[d] for d, _, _, _ in found], "item_id": [tests.ids[i] for _, i, _, _ in found], "n_words": words, "covered": covered, "coverage": [c / n for c, n in zip(covered, words, strict=True)], "tiles": [t for _, _, _, t in found]}
@@ -178,10 +218,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCH, cover
         shared = docs.sparkSession.sparkContext.broadcast(tests)
 
         def keep(batches, shared=shared):
+            begin_task()
             for batch in batches:
-                texts = [t.as_py() or "" for t in batch.column(batch.schema.get_field_index(text_col))]
+                texts = batch.column(batch.schema.get_field_index(text_col))
                 mask = np.ones(len(texts), bool)
-                mask[[d for d, _, _, _ in matches(texts, shared.value, least, coverage)]] = False
+                mask[[d for d, _, _, _ in found_in(texts, shared.value, coverage)]] = False
                 yield batch.filter(pa.array(mask))
 
         docs = docs.mapInArrow(keep, docs.schema)
