@@ -17,8 +17,10 @@ TOP = 20
 SCALE = 64
 #: Vectors of a block, which share bounds, and of a slab, which is searched in one go.
 BLOCK, SLAB = 128, 1 << 13
-#: Queries that are searched for together.
-QUERIES_AT_ONCE = 1024
+#: Vectors of a box, by which slabs are bounded before any vector is sent, and boxes that are bounded together.
+BOX, BOXES_AT_ONCE = 512, 1 << 14
+#: Queries that are searched for together, and slabs that a query is sent to at first.
+QUERIES_AT_ONCE, FIRST_SLABS = 1024, 2
 #: A bounded sample of vectors orders the index and gives each query a first threshold.
 SAMPLE, CENTRES = 4096, 64
 _EXACT = float(1 << 53)
@@ -103,6 +105,31 @@ def _centres(sample: np.ndarray, n: int) -> np.ndarray:
     return centres
 
 
+def _boxes(slabs: DataFrame) -> DataFrame:
+    """slab, dim, top, low: the greatest and least component of each term in every BOX consecutive vectors of a slab."""
+
+    def fit(batch):
+        slab, dims = batch["slab"].to_numpy(), batch["dim"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (slab[1:] != slab[:-1]) | (dims[1:] != dims[:-1])])
+        out = {"slab": [], "dim": [], "top": [], "low": []}
+        for a, b in zip(cuts, np.r_[cuts[1:], len(slab)], strict=True):
+            for k in range(a, b, BOX):
+                rows = batch["v"].slice(k, min(BOX, b - k))
+                m = rows.flatten().to_numpy().reshape(len(rows), int(dims[a])) if dims[a] else np.zeros((len(rows), 0), np.int64)
+                for name, x in (("slab", slab[a]), ("dim", dims[a]), ("top", m.max(axis=0)), ("low", m.min(axis=0))):
+                    out[name].append(x)
+        yield out
+
+    return map_batches(slabs.select("slab", "dim", "v"), fit, "slab long, dim int, top array<long>, low array<long>")
+
+
+def box_bounds(queries: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each query and box no less than the best score in the box, whatever the rounding."""
+    queries, top, low = (x.astype(float) for x in (queries, top, low))
+    most = np.abs(queries) @ np.maximum(np.abs(top), np.abs(low)).T
+    return np.maximum(queries, 0) @ top.T + np.minimum(queries, 0) @ low.T + most * 1e-12
+
+
 def top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE) -> DataFrame:
     """Columns query_id, rank, vec_id, score: for each row where is_query holds its k best others.
 
@@ -112,7 +139,9 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE) -> Dat
     that id. Extra columns are left out. An empty table gives an empty result.
 
     The index is sorted by centre and id, over a bounded sample's centres, and cut into slabs of consecutive
-    vectors, each with its blocks; all vectors are in it. Batches of queries meet every slab.
+    vectors, each with its blocks; all vectors are in it. Before vectors meet, queries are bounded against small boxes
+    of each slab, and go only to slabs that may hold something above what the sample gives them; first to the
+    best of these, and to the others if their bound still reaches the k-th score found there.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -139,32 +168,62 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE) -> Dat
     parts = max(1, math.ceil(n / SLAB))
     ordered = placed.repartitionByRange(parts, "dim", "centre", "vec_id").sortWithinPartitions("dim", "centre", "vec_id")
     slabs = checkpointed(ordered.withColumn("slab", F.spark_partition_id().cast("long") * (1 << 24) + F.floor((F.monotonically_increasing_id() % (1 << 33)) / SLAB)))
-    names = checkpointed(slabs.select(F.col("dim").alias("q_dim"), F.col("slab").alias("q_slab")).distinct())
+    boxes = checkpointed(_boxes(slabs).withColumn("b_group", F.floor(F.rand(19) * max(1, math.ceil(n / (BOX * BOXES_AT_ONCE)))).cast("int")))
+    groups = boxes.select(F.col("dim").alias("g_dim"), F.col("b_group").alias("q_group")).distinct()
     batches = {d: max(1, math.ceil(r["q"] / QUERIES_AT_ONCE)) for d, r in shape.items()}
     count = F.coalesce(*[F.when(F.col("dim") == d, F.lit(b)) for d, b in batches.items()], F.lit(1))
-    of_id = F.pmod(F.xxhash64(F.lit(13), "vec_id"), count)
-    queries = whole.where(is_query).select("vec_id", F.col("dim").alias("q_dim"), "v", of_id.alias("q_batch")).join(names, "q_dim")
-    copies = slabs.withColumn("batch", F.explode(F.sequence(F.lit(0), count - 1)))
+    queries = whole.where(is_query).withColumn("batch", F.pmod(F.xxhash64(F.lit(13), "vec_id"), count))
+    asked = queries.join(groups, F.col("dim") == F.col("g_dim")).select(F.col("dim").alias("q_dim"), F.col("batch").alias("q_batch"), "q_group", "vec_id", "v")
+    offered = boxes.withColumn("batch", F.explode(F.sequence(F.lit(0), count - 1)))
 
-    def pair(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+    def bound(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "dim": [], "slab": [], "bound": [], "floor": []}
         if len(left) and len(right):
             d = int(key[0])
-            right = right.sort_values(["centre", "vec_id"])
-            queries, docs = _matrix(left["v"].tolist(), d), _matrix(right["v"].tolist(), d)
-            query_ids, doc_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            m, ids = _matrix(left["v"].tolist(), d), left["vec_id"].to_numpy()
             sample_ids, sample = fitted.value[0][d]
             floor = np.full(len(left), -np.inf)
             if len(sample) > k + 1:
-                got = np.where(query_ids[:, None] == sample_ids[None, :], -np.inf, (queries @ sample.T).astype(float))
+                got = np.where(ids[:, None] == sample_ids[None, :], -np.inf, (m @ sample.T).astype(float))
                 floor = np.partition(got, got.shape[1] - k, axis=1)[:, got.shape[1] - k]
-            scores, ids, _ = search(queries, query_ids, docs, doc_ids, floor, k)
+            slab, of = np.unique(right["slab"].to_numpy(), return_inverse=True)
+            by_box = box_bounds(m, *(np.array(right[c].tolist(), np.int64).reshape(len(right), d) for c in ("top", "low")))
+            by_slab = np.full((len(left), len(slab)), -np.inf)
+            np.maximum.at(by_slab.T, of, by_box.T)
+            rows, columns = np.nonzero(by_slab >= floor[:, None])
+            out = {"query_id": ids[rows], "dim": np.full(len(rows), d), "slab": slab[columns], "bound": by_slab[rows, columns], "floor": floor[rows]}
+        return pd.DataFrame(out).astype({"query_id": "int64", "dim": "int32", "slab": "int64", "bound": "float64", "floor": "float64"})
+
+    met = asked.groupBy("q_dim", "q_batch", "q_group").cogroup(offered.groupBy("dim", "batch", "b_group")).applyInPandas(bound, "query_id long, dim int, slab long, bound double, floor double")
+    best = F.row_number().over(W.partitionBy("query_id", "dim").orderBy(F.desc("bound"), "slab"))
+    meetings = met.groupBy("query_id", "dim", "slab").agg(F.max("bound").alias("bound"), F.min("floor").alias("floor"))
+    meetings = checkpointed(meetings.withColumn("turn", best))
+
+    def pair(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "score": []}
+        if len(left) and len(right):
+            d = int(right["dim"].iloc[0])
+            right = right.sort_values(["centre", "vec_id"])
+            queries, docs = _matrix(left["v"].tolist(), d), _matrix(right["v"].tolist(), d)
+            query_ids, doc_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            scores, ids, _ = search(queries, query_ids, docs, doc_ids, left["floor"].to_numpy(), k)
             rows, columns = np.nonzero(ids >= 0) if (doc_ids >= 0).all() else np.nonzero(scores.astype(float) > -np.inf)
             out = {"query_id": query_ids[rows], "vec_id": ids[rows, columns], "score": [int(x) for x in scores[rows, columns]]}
         return pd.DataFrame(out).astype("int64")
 
-    found = queries.groupBy("q_dim", "q_batch", "q_slab").cogroup(copies.groupBy("dim", "batch", "slab")).applyInPandas(pair, "query_id long, vec_id long, score long")
+    def searched(pairs: DataFrame) -> DataFrame:
+        """The best of each query in the slabs that it is sent to. A slab is copied for every so many queries that it gets."""
+        load = pairs.groupBy("slab", "dim").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("copies"))
+        dealt = pairs.join(load, ["slab", "dim"]).withColumn("batch", F.pmod(F.xxhash64(F.lit(23), "query_id"), F.col("copies")))
+        left = dealt.join(whole.select(F.col("vec_id"), F.col("dim").alias("v_dim"), "v"), (F.col("query_id") == F.col("vec_id")) & (F.col("dim") == F.col("v_dim"))).select("vec_id", "v", F.col("slab").alias("q_slab"), F.col("dim").alias("q_dim"), F.col("batch").alias("q_batch"), "floor")
+        right = slabs.join(load, ["slab", "dim"]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        return left.groupBy("q_slab", "q_dim", "q_batch").cogroup(right.groupBy("slab", "dim", "batch")).applyInPandas(pair, "query_id long, vec_id long, score long")
+
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = checkpointed(searched(meetings.where(F.col("turn") <= FIRST_SLABS)).withColumn("rank", rank).where(F.col("rank") <= k))
+    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+    rest = meetings.where(F.col("turn") > FIRST_SLABS).join(kth, "query_id", "left").withColumn("floor", F.greatest("floor", "kth")).where(F.col("bound") >= F.col("floor")).select("query_id", "dim", "slab", "floor")
+    found = first.drop("rank").union(searched(rest))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

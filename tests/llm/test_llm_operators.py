@@ -335,6 +335,7 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "SLAB", 64)
     monkeypatch.setattr(topk_search, "BLOCK", 8)
     monkeypatch.setattr(topk_search, "QUERIES_AT_ONCE", 8)
+    monkeypatch.setattr(topk_search, "BOX", 16)
     r = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in r.normal(size=6).round(1)]) for i in range(400)]
     vectors[7] = (7, vectors[8][1])
@@ -351,6 +352,15 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk_search.top_k(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_box_bounds_hold():
+    r = np.random.default_rng(8)
+    for size in (3, 40, 10**9):
+        docs, queries = r.integers(-size, size, (64, 7)), r.integers(-size, size, (20, 7))
+        bounds = topk_search.box_bounds(queries, docs.reshape(4, 16, 7).max(axis=1), docs.reshape(4, 16, 7).min(axis=1))
+        best = (queries.astype(object) @ docs.T.astype(object)).reshape(20, 4, 16).max(axis=2)
+        assert all(bounds[i, j] >= best[i, j] for i in range(20) for j in range(4))
+
+
 def test_pruning_skips_blocks():
     r = np.random.default_rng(4)
     centres = r.normal(size=(20, 16)) * 40
