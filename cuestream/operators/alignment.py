@@ -7,6 +7,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Costs of the alignment, in units of a missing cue.
@@ -62,22 +63,55 @@ def align(reference: list[dict], output: list[dict]) -> list[tuple[int | None, i
     return pairs[::-1]
 
 
-def aligned(reference: DataFrame, output: DataFrame) -> DataFrame:
-    """The pairs of each stream (columns stream_id, start, end, text of both tables, seconds)."""
+def _numbered(cues: DataFrame, side: int) -> DataFrame:
+    """Cues with their place in the stream, in order of time."""
+    w = W.partitionBy("stream_id").orderBy("start", "end", "text")
+    return cues.select("stream_id", "start", "end", "text", (F.row_number().over(w) - 1).cast("int").alias("nth"), F.lit(side).alias("side"))
+
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = ([r | {"key": text_key(r["text"])} for r in x.sort_values(["start", "end"]).to_dict("records")] for x in (left, right))
+def aligned(reference: DataFrame, output: DataFrame) -> DataFrame:
+    """The pairs of each stream (columns stream_id, start, end, text of both tables, seconds).
+
+    Cues that neither overlap nor begin within NEAR_START_S of each other are never a pair, so a stream falls apart wherever all cues
+    before, of both tables, are that far from all that follow; each part is aligned by itself, and a table of costs is
+    as large as what stands at one time. Among alignments of equal cost the choice is made within a part."""
+    both = _numbered(reference, 0).union(_numbered(output, 1))
+    w = W.partitionBy("stream_id").orderBy("start", "end", "side", "nth")
+    reach = F.max(F.greatest(F.col("end"), F.col("start") + NEAR_START_S)).over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = both.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    parts = marked.withColumn("part", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("__new")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = ([r | {"key": text_key(r["text"])} for r in pdf[pdf["side"] == side].sort_values("nth").to_dict("records")] for side in (0, 1))
         rows = []
         for i, j in align(a, b):
-            ka, kb = a[i]["key"] if i is not None else "", b[j]["key"] if j is not None else ""
-            both = i is not None and j is not None
-            delta = [round(b[j][c] - a[i][c], 6) for c in ("start", "end")] if both else [None, None]
-            rows.append((key[0], i, j, distance(ka, kb), len(ka), both and ka == kb, *delta))
+            x, y = a[i] if i is not None else None, b[j] if j is not None else None
+            kx, ky = x["key"] if x else "", y["key"] if y else ""
+            delta = [round(y[c] - x[c], 6) for c in ("start", "end")] if x and y else [None, None]
+            rows.append((pdf["stream_id"].iloc[0], x and x["nth"], y and y["nth"], distance(kx, ky), len(kx), bool(x and y) and kx == ky, *delta))
         frame = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in PAIR.split(",")])
         return frame.astype({"reference_index": "Int32", "output_index": "Int32"})
 
-    columns = ["stream_id", "start", "end", "text"]
-    return reference.select(*columns).groupBy("stream_id").cogroup(output.select(*columns).groupBy("stream_id")).applyInPandas(run, PAIR)
+    return parts.groupBy("stream_id", "part").applyInPandas(run, PAIR)
+
+
+def matched_blocks(reference: DataFrame, output: DataFrame) -> DataFrame:
+    """stream_id, reference_index, output_index, start_error, end_error: cues of equal texts in the longest common blocks of each stream."""
+    from difflib import SequenceMatcher
+
+    schema = "stream_id long, reference_index int, output_index int, start_error double, end_error double"
+    both = _numbered(reference, 0).union(_numbered(output, 1))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["side"] == side].sort_values("nth").reset_index(drop=True) for side in (0, 1))
+        texts = [[" ".join(t.split()) for t in x["text"]] for x in (a, b)]
+        pairs = [(m.a + k, m.b + k) for m in SequenceMatcher(None, *texts, autojunk=False).get_matching_blocks() for k in range(m.size)]
+        x, y = a.loc[[i for i, _ in pairs]].reset_index(drop=True), b.loc[[j for _, j in pairs]].reset_index(drop=True)
+        out = pd.DataFrame({"reference_index": x["nth"], "output_index": y["nth"], "start_error": (x["start"] - y["start"]).abs(), "end_error": (x["end"] - y["end"]).abs()})
+        out.insert(0, "stream_id", pdf["stream_id"].iloc[0])
+        return out
+
+    return both.groupBy("stream_id").applyInPandas(run, schema)
 
 
 def report(pairs: DataFrame, *group: str) -> DataFrame:

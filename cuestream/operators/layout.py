@@ -77,6 +77,40 @@ def split_by_height(lines: Column, frame_height: Column, least: float, most: flo
     return F.filter(lines, fits), F.filter(lines, lambda x: ~fits(x))
 
 
+def filter_lines(lines: Column, densities: Column, frame_height: Column, least: float, most: float = 0.0, least_density: float = 0.0) -> Column:
+    """struct kept, small, faint: lines of a height in pixels within bounds and, where one is asked for, of a mask density (one
+    for each line) that is enough; small ones are left out by either, faint ones by their density."""
+    high = lambda x: (x["box"]["h"] * frame_height >= least) & (F.lit(most <= 0) | (x["box"]["h"] * frame_height <= most))
+    judged = F.zip_with(lines, densities, lambda x, d: F.struct(x.alias("line"), high(x).alias("high"), (F.lit(least_density <= 0) | F.coalesce(d >= least_density, F.lit(False))).alias("dense")))
+    of = lambda test: F.transform(F.filter(judged, test), lambda j: j["line"])
+    return F.struct(of(lambda j: j["high"] & j["dense"]).alias("kept"), of(lambda j: ~(j["high"] & j["dense"])).alias("small"), of(lambda j: j["high"] & ~j["dense"]).alias("faint"))
+
+
+def without_glyphs(events: DataFrame, densities: DataFrame) -> DataFrame:
+    """Events (stream_id, id, first_frame, start, end, frames, text, confidence) that no pixels back: one frame of a letter or two, hardly
+    read, whose mask density (stream_id, frame, density) is far below the usual one of sustained events. A stream whose first eight
+    of those give no usual density, or hardly any, has none."""
+    of = events.join(densities.withColumnRenamed("frame", "first_frame"), ["stream_id", "first_frame"], "left")
+    held = (F.col("frames") >= 5) & (F.col("end") - F.col("start") >= 0.35) & (F.col("confidence") >= 0.8) & (F.length("text") >= 3)
+    nth = F.row_number().over(W.partitionBy("stream_id").orderBy("id"))
+    usual = of.where(held).withColumn("nth", nth).where("nth <= 8 and density is not null").groupBy("stream_id").agg(F.count("*").alias("n"), F.median("density").alias("usual")).where("n >= 3 and usual >= 0.03")
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
+    suspect = (F.col("frames") == 1) & (F.col("end") - F.col("start") < 0.10) & (letters <= 2) & (F.col("confidence") < 0.72)
+    return of.where(suspect).join(usual, "stream_id").where(F.col("density") < F.least(F.lit(0.008), F.col("usual") * 0.15)).select("stream_id", "id", "text", "density")
+
+
+def learn_manual(regions: DataFrame, learned: DataFrame) -> DataFrame:
+    """Regions (stream_id, roi, automatic, font_calibrated, font_height, mask_density) that were drawn by hand take size and density
+    from what was learned within them, once; their borders stay."""
+    own = F.coalesce("automatic", F.lit(False)) | F.coalesce("font_calibrated", F.lit(False))
+    new = learned.select("stream_id", F.col("font_height").alias("__h"), F.col("mask_density").alias("__d"))
+    joined = regions.join(new, "stream_id", "left")
+    return joined.select(
+        "stream_id", "roi", "automatic", F.when(own, F.coalesce("font_calibrated", F.lit(False))).otherwise(F.lit(True)).alias("font_calibrated"),
+        F.when(own, F.col("font_height")).otherwise(F.col("__h")).alias("font_height"), F.when(own, F.col("mask_density")).otherwise(F.col("__d")).alias("mask_density"),
+    )
+
+
 def observed_layout(rows: DataFrame, *group: str) -> DataFrame:
     """center_x, bottom_y, glyph_height of each group: medians over the rows of the bounds of their confident
     lines. rows have lines; a row with an unusable box is left out."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuestream.operators import runs
+from cuestream.functions import text as T
+from cuestream.operators import repairs, runs
 from cuestream.plans.carriers import OBS, observations
 
 HOUR = 3600 * runs.SECOND
@@ -102,22 +103,6 @@ def few_glyph_suspects(spark, sf_dir):
     return events.where((F.col("frames") == 1) & (F.col("end_us") - F.col("start_us") < 6 * HOUR) & (letters <= 5) & (F.col("confidence") < 0.72)).select("stream_id", "id", "text", "confidence")
 
 
-def brief_run_neighbours(spark, sf_dir):
-    """Runs of at most a day that are blank between equal readings, or have a reading within two runs that
-    contains theirs or is contained in it: candidates for a second look."""
-    w = W.partitionBy("stream_id").orderBy("run_id")
-    r = runs_encode(spark, sf_dir)
-    for k in (1, 2):
-        r = r.withColumn(f"b{k}", F.lag("key", k).over(w)).withColumn(f"a{k}", F.lead("key", k).over(w))
-    blank = (F.col("key") == "") & (F.col("b1") != "") & (F.col("b1") == F.col("a1"))
-    related = F.lit(False)
-    for c in ("b1", "b2", "a1", "a2"):
-        short, long = F.when(F.length("key") < F.length(c), F.col("key")).otherwise(F.col(c)), F.when(F.length("key") < F.length(c), F.col(c)).otherwise(F.col("key"))
-        related = related | ((F.col(c) != "") & (F.length(short) >= 3) & F.contains(long, short))
-    keep = (F.col("end_us") - F.col("start_us") <= 24 * HOUR) & (blank | ((F.col("key") != "") & F.coalesce(related, F.lit(False))))
-    return r.where(F.coalesce(keep, F.lit(False))).select("stream_id", "run_id", "key", "n")
-
-
 def stable_group_sampling(spark, sf_dir):
     """Of each run the first, middle and last observation; if all three are confident enough, the best
     stands for the run."""
@@ -131,15 +116,13 @@ def stable_group_sampling(spark, sf_dir):
 
 
 def spelling_groups(spark, sf_dir):
-    """Runs of equal letters without white space that have several spellings: rows not spelled like the mode,
-    where that has three rows at least, are to be repaired."""
-    marked = runs.with_run_id(observations(spark, sf_dir)).where("key <> ''")
-    voted = runs.vote(marked, "stream_id", "run_id").where("n_variants >= 2 and n >= 3")
-    target = voted.select("stream_id", "run_id", F.col("text").alias("spelling"))
-    return marked.join(target, ["stream_id", "run_id"]).where("text <> spelling").select("stream_id", "frame", "text", "spelling")
-
+    """Runs of equal letters, whatever their spaces, that have several spellings: rows not spelled like the mode, where that has
+    three rows at least, are to be repaired."""
+    o = observations(spark, sf_dir)
+    spaced = F.when(F.col("frame") % 5 == 0, F.concat(F.substring("text", 1, 2), F.lit(" "), F.expr("substring(text, 3)"))).otherwise(F.col("text"))
+    said = o.select("stream_id", "frame", F.when(F.col("text") == "", "").otherwise(spaced).alias("text"), "confidence")
+    return repairs.spacing_targets(said.withColumn("key", T.key(F.col("text")))).select("stream_id", "frame", "text", "spelling")
 
-_NEIGHBOURS = " OR ".join(f"({c} <> '' AND least(length(key), length({c})) >= 3 AND contains(CASE WHEN length(key) < length({c}) THEN {c} ELSE key END, CASE WHEN length(key) < length({c}) THEN key ELSE {c} END))" for c in ("b1", "b2", "a1", "a2"))
 
 TWINS = {
     "runs_encode": (runs_encode, f"WITH {RUNS} SELECT * FROM runs"),
@@ -162,11 +145,12 @@ TWINS = {
       SELECT stream_id, fragment, key, CAST(sum(n) AS BIGINT) AS n, count(*) AS parts, min(start_us) AS start_us, max(end_us) AS end_us FROM numbered GROUP BY stream_id, fragment, key"""),
     "few_glyph_suspects": (few_glyph_suspects, f"""WITH {EVENTS} SELECT stream_id, id, text, confidence FROM events_out
       WHERE frames = 1 AND end_us - start_us < {6 * HOUR} AND length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) <= 5 AND confidence < 0.72"""),
-    "brief_run_neighbours": (brief_run_neighbours, f"""WITH {RUNS}, beside AS (SELECT *, lag(key, 1) OVER w AS b1, lag(key, 2) OVER w AS b2, lead(key, 1) OVER w AS a1, lead(key, 2) OVER w AS a2 FROM runs WINDOW w AS (PARTITION BY stream_id ORDER BY run_id))
-      SELECT stream_id, run_id, key, n FROM beside WHERE end_us - start_us <= {24 * HOUR} AND ((key = '' AND b1 <> '' AND b1 = a1) OR (key <> '' AND coalesce({_NEIGHBOURS}, false)))"""),
     "stable_group_sampling": (stable_group_sampling, f"""WITH {RUNS}, placed AS (SELECT *, count(*) OVER (PARTITION BY stream_id, run_id) AS n, row_number() OVER (PARTITION BY stream_id, run_id ORDER BY frame) - 1 AS nth FROM marked WHERE key <> '')
       SELECT stream_id, run_id, max(n) AS n, count(*) AS sampled, CASE WHEN min(cents) >= 0.3 * 49002 THEN arg_min(frame, (-cents, frame)) END AS stands_for_all
       FROM placed WHERE nth = 0 OR nth = n // 2 OR nth = n - 1 GROUP BY stream_id, run_id"""),
-    "spelling_groups": (spelling_groups, f"""WITH {EVENTS} SELECT m.stream_id, m.frame, m.text, v.text AS spelling FROM marked m
-      JOIN voted v ON m.stream_id = v.stream_id AND m.run_id = v.run_id AND v.place = 1 AND v.n_variants >= 2 AND v.n >= 3 WHERE m.key <> '' AND m.text <> v.text"""),
+    "spelling_groups": (spelling_groups, f"""WITH {OBS}, said AS (SELECT stream_id, frame, CASE WHEN text = '' THEN '' WHEN frame % 5 = 0 THEN substr(text, 1, 2) || ' ' || substr(text, 3) ELSE text END AS text, replace(key, ' ', '') AS compact FROM obs),
+      parted AS (SELECT *, CAST(sum(change) OVER (PARTITION BY stream_id ORDER BY frame) AS BIGINT) AS part FROM (SELECT *, CASE WHEN compact <> lag(compact) OVER (PARTITION BY stream_id ORDER BY frame) THEN 1 ELSE 0 END AS change FROM said)),
+      counts AS (SELECT stream_id, part, text, count(*) AS n, min(frame) AS since FROM parted WHERE compact <> '' GROUP BY ALL),
+      modes AS (SELECT *, row_number() OVER (PARTITION BY stream_id, part ORDER BY n DESC, since) AS place, count(*) OVER (PARTITION BY stream_id, part) AS spellings FROM counts)
+      SELECT p.stream_id, p.frame, p.text, m.text AS spelling FROM parted p JOIN modes m ON p.stream_id = m.stream_id AND p.part = m.part AND m.place = 1 AND m.spellings >= 2 AND m.n >= 3 WHERE p.text <> m.text"""),
 }

@@ -92,6 +92,51 @@ def list_videos(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.col("path").alias("source"), F.concat(root, F.lit("/"), relative).alias("relative"), series.alias("series")).orderBy(T.natural_key(F.col("relative")))
 
 
+def import_entries(spark: SparkSession, folders: list[str], durations: DataFrame | None = None) -> DataFrame:
+    """The videos of several files and folders, each once: source, relative, series, duration (of a table source, duration; 0 where
+    it is not known)."""
+    found = [list_videos(spark, f) if not re.search(r"\.(?:" + "|".join(VIDEO_EXTENSIONS) + ")$", f.lower()) else _one_video(spark, f) for f in folders]
+    entries = found[0]
+    for more in found[1:]:
+        entries = entries.union(more)
+    entries = entries.dropDuplicates(["source"])
+    known = durations if durations is not None else spark.createDataFrame([], "source string, duration double")
+    return entries.join(known, "source", "left").select("source", "relative", "series", F.coalesce("duration", F.lit(0.0)).alias("duration"))
+
+
+def _one_video(spark: SparkSession, path: str) -> DataFrame:
+    parent, _, name = path.rpartition("/")
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.lit(name).alias("relative"), F.lit(parent.rsplit("/", 1)[-1]).alias("series"))
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """source, source_sha256, bytes of every file of a path: the hash of its whole content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("source"), F.sha2("content", 256).alias("source_sha256"), F.col("length").alias("bytes"))
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """The words of a text file, one to a line; blank lines are none."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")
+
+
+def exported(records: DataFrame, format: str = "both") -> DataFrame:
+    """The files of stored results (stream_id, start_ms, end_ms, turn, text) in the formats asked for: stream_id, format, body. Nothing is
+    recognised again."""
+    from cuestream.operators import cues as C
+
+    if format not in ("srt", "ass", "both"):
+        raise ValueError("the format must be srt, ass or both")
+    out = []
+    if format != "ass":
+        out.append(C.srt_body(records).select("stream_id", F.lit("srt").alias("format"), "body"))
+    if format != "srt":
+        lines = C.ass_lines(records).join(records.select("stream_id", "turn", "start_ms"), ["stream_id", "turn"])
+        inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "turn", "line"))), lambda x: x["line"]), "\n")
+        out.append(lines.groupBy("stream_id").agg(F.concat(inner, F.lit("\n")).alias("body")).select("stream_id", F.lit("ass").alias("format"), "body"))
+    return out[0] if len(out) == 1 else out[0].union(out[1])
+
+
 def read_cache(rows: DataFrame) -> DataFrame:
     """A frame cache (stream_id, idx, t, end, data) as observations: the recogniser's JSON parsed once, its lines'
     text and least confidence. Lines need a confidence of 0.5 and a letter or digit; they are read in rows."""
