@@ -42,7 +42,9 @@ def fold(text: Column) -> Column:
     """Full case folding: upper case and back resolves what lower case leaves (sharp s, long s, ligatures); the dotless i and
     the final sigma have rules of their own."""
     kept = F.translate(F.lower(text), "ı", "\ue000")
-    return F.translate(F.lower(F.upper(kept)), "ς\ue000", "σı")
+    # What stands between keeps the optimiser from taking lower case of upper case for lower case.
+    raised = F.translate(F.upper(kept), "\ue000", "\ue001")
+    return F.translate(F.lower(raised), "ς\ue001", "σı")
 
 
 def nfc_each(texts: Column) -> Column:
