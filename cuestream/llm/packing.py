@@ -19,11 +19,13 @@ from cuestream.llm.common import checkpointed, map_batches, table
 CAPACITY = 1024
 END_ID = 2
 #: Rounds of multiplicative weights in one solution of the program, and how often what rounding leaves is solved again.
-ROUNDS, SOLUTIONS = 24, 8
+ROUNDS, SOLUTIONS = 150, 8
+#: Tokens of room that a configuration may waste to be rounded, by how often the program has been solved.
+WASTE = (0, 0, 1, 4, 16, 64, 256, CAPACITY)
 #: A round serves configurations worth this share of the dearest, each up to so much of its scarcest length's demand.
-WORTH, STEP = 0.98, 0.5
-#: How fast a length loses weight as its demand is served.
-RATE = 0.5
+WORTH, STEP = 0.98, 1.0
+#: How much dearer than its length the longest is at first, and how fast a length loses weight as its demand is served.
+LONG, RATE = 0.3, 0.2
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -73,7 +75,7 @@ def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[
         if not len(lengths):
             break
         served = np.array([1 - left[n] / demand[n] for n in lengths.tolist()])
-        values = lengths * (1 + lengths / capacity) * np.exp(-RATE * served)
+        values = lengths * (1 + LONG * lengths / capacity) * np.exp(-RATE * served)
         best, take = price(lengths, values, capacity)
         if not turn:
             bound = max(bound, float(values @ np.array([demand[n] for n in lengths.tolist()]) / best[capacity]))
@@ -89,7 +91,7 @@ def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[
             step = min(left[m] / k for m, k in config.items())
             if step <= 1e-6:
                 continue
-            step = step if step <= 1 else max(1.0, STEP * step)
+            step = step if step < 1 else float(max(1, int(STEP * step)))  # whole copies lose nothing to rounding
             fractions[tuple(sorted(config.items(), reverse=True))] += step
             for m, k in config.items():
                 left[m] -= step * k
@@ -149,20 +151,17 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         bound = float(left[capacity])
         plan[((capacity, 1),)] += left.pop(capacity)
     for turn in range(SOLUTIONS):
-        before = sum(left.values())
         if not left:
             break
         fractions, least = solve(left, capacity, rounds)
         bound += least if not turn else 0
-        # Room that a configuration wastes is lost for good, so those without any come first.
-        full = [c for c in fractions if sum(n * k for n, k in c) == capacity]
-        full = full if sum(fractions[c] for c in full) > least / 2 else list(fractions)
+        # Room that a configuration wastes is lost for good, so those without any come first; what is left at last can do with some.
+        slack = WASTE[min(turn, len(WASTE) - 1)]
+        full = [c for c in fractions if capacity - sum(n * k for n, k in c) <= slack]
         for config in sorted(full, key=lambda c: (-fractions[c], c)):
             serve(config, int(fractions[config]), left, plan)
         for config in sorted(full, key=lambda c: (int(fractions[c]) - fractions[c], c)):
             serve(config, 1, left, plan)
-        if sum(left.values()) > 0.98 * before:
-            break
     placed = pieces - sum(left.values())
     for config, k in best_fit(left, capacity):
         plan[tuple(sorted(config.items(), reverse=True))] += k
