@@ -239,8 +239,10 @@ def _copies(base: DataFrame) -> DataFrame:
             yield {"doc_id": ids, "n_words": [len(w) for w in words], "sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words], "of": prints_of(*byte_words.flat(texts))}
 
     digests = written(map_batches(base, digest, "doc_id long, n_words long, sha256 string, of long"))
-    first = digests.groupBy("sha256").agg(F.min("doc_id").alias("first"))
-    return written(digests.join(first, "sha256").select("doc_id", "n_words", "sha256", "of", (F.col("first") < F.col("doc_id")).alias("copy")))
+    # Only texts that several rows have, as a table of its own: the join is then by broadcast, or its skewed keys can be split.
+    first = written(digests.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")
+    return written(digests.join(first, "sha256", "left").select("doc_id", "n_words", "sha256", "of", copy))
 
 
 def _candidates(base: DataFrame, digests: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def inside(at: np.ndarray, n: int) -> np.ndarray:
 lower_words = Coder(str.split, lambda w: xxhash.xxh3_64_intdigest(w.lower()))
 
 
-def slices(texts, size: int = 1 << 20):
+def slices(texts, size: int = 2 << 20):
     """Spans of texts (strings or an Arrow array) of about so many bytes in all, so that their arrays stay small."""
     if isinstance(texts, pa.Array):
         lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
