@@ -36,24 +36,22 @@ def emit_events(rows: DataFrame) -> DataFrame:
     """Observations with keys to events: text by vote among what was observed, mean confidence of the rows with
     it, agreement, and the time of the best such row (the most confident, then nearest to the middle).
     Blank runs separate and are dropped; ids count the rest from 1."""
-    runs = with_run_id(rows)
-    spans = runs.groupBy("stream_id", "run_id", "key").agg(
-        F.count("*").alias("frames"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")
-    )
-    spans = spans.where("key <> ''")
-    voted = vote(runs.where("key <> ''"), "stream_id", "run_id").select("stream_id", "run_id", F.col("text").alias("voted"), F.col("n").alias("matching"), "n_variants")
-    events = spans.join(voted, ["stream_id", "run_id"])
-    seen = events.select("stream_id", "run_id", "voted", F.col("start_us").alias("run_start"), F.col("end_us").alias("run_end"))
-    matching = runs.join(seen, ["stream_id", "run_id"]).where(F.col("text") == F.col("voted"))
+    run = W.partitionBy("stream_id", "run_id")
+    # Everything below is dealt by stream as the runs are: no row is sent twice.
+    said = with_run_id(rows).where("key <> ''").withColumn("run_start", F.min("start_us").over(run)).withColumn("run_end", F.max("end_us").over(run))
     far = F.abs(F.col("run_start") + F.col("run_end") - 2 * F.col("start_us"))
-    best = matching.groupBy("stream_id", "run_id").agg(
-        F.sum("cents").alias("cents"), F.min(F.struct((-F.col("cents")).alias("c"), far.alias("far"), F.col("frame"), F.col("start_us"))).alias("best")
+    best = F.min(F.struct((-F.col("cents")).alias("c"), far.alias("far"), F.col("frame"), F.col("start_us"))).alias("best")
+    texts = said.groupBy("stream_id", "run_id", "text").agg(
+        F.count("*").alias("n"), F.min("frame").alias("seen"), F.max("frame").alias("last"), F.sum("cents").alias("cents"), best, F.min("run_start").alias("start_us"), F.max("run_end").alias("end_us")
+    )
+    voted = F.max(F.struct("n", (-F.col("seen")).alias("early"), "text", "cents", "best")).alias("v")
+    events = texts.groupBy("stream_id", "run_id").agg(
+        voted, F.sum("n").alias("frames"), F.count("*").alias("n_variants"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.min("seen").alias("first_frame"), F.max("last").alias("last_frame")
     )
-    confidence = F.round(F.col("cents") / F.col("matching") / 49002, 4)
     ids = F.row_number().over(W.partitionBy("stream_id").orderBy("run_id"))
-    return events.join(best, ["stream_id", "run_id"]).select(
-        "stream_id", ids.cast("long").alias("id"), "start_us", "end_us", F.col("voted").alias("text"), confidence.alias("confidence"), "frames", F.round(F.col("matching") / F.col("frames"), 4).alias("agreement"),
-        F.col("best.start_us").alias("evidence_us"), "first_frame", "last_frame", "n_variants",
+    return events.select(
+        "stream_id", ids.cast("long").alias("id"), "start_us", "end_us", F.col("v.text").alias("text"), F.round(F.col("v.cents") / F.col("v.n") / 49002, 4).alias("confidence"), "frames",
+        F.round(F.col("v.n") / F.col("frames"), 4).alias("agreement"), F.col("v.best.start_us").alias("evidence_us"), "first_frame", "last_frame", "n_variants",
     )
 
 
