@@ -175,7 +175,8 @@ def _classes(rows: DataFrame) -> DataFrame:
     nodes = worded.groupBy("f1", "f2").agg(least, F.any_value("bands").alias("bands"))
     nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "at", "bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # A table of its own: the join with it is then by broadcast, or a bucket that many nodes are in can be split.
+    leaders = written(buckets.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n"))
     buckets = written(buckets.join(leaders, "bucket"))
     pairs = buckets.where("u != node").select("u", F.col("node").alias("v")).distinct()
     # Texts without a partner are not sent.
@@ -184,7 +185,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     links = checkpointed(_verified(pairs, texts))
     found = checkpointed(components(links))
     at = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    mixed = written(at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket"))
     at = checkpointed(at.join(mixed, "bucket"))
     if at.take(1):
         more = checkpointed(_links_in_buckets(at, texts))
