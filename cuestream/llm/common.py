@@ -28,13 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set, as in tests."""
+    """The folder that the cluster shares; a local one only where none is set and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     folder = tempfile.mkdtemp(prefix="shared-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
