@@ -172,7 +172,8 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE) -> Dat
     groups = boxes.select(F.col("dim").alias("g_dim"), F.col("b_group").alias("q_group")).distinct()
     batches = {d: max(1, math.ceil(r["q"] / QUERIES_AT_ONCE)) for d, r in shape.items()}
     count = F.coalesce(*[F.when(F.col("dim") == d, F.lit(b)) for d, b in batches.items()], F.lit(1))
-    queries = whole.where(is_query).withColumn("batch", F.pmod(F.xxhash64(F.lit(13), "vec_id"), count))
+    queries = whole.where(is_query).withColumn("batch", F.pmod(F.xxhash64(F.lit(13), "vec_id"), count).cast("int"))
+    # Keys of both sides of a cogroup must be of one type: rows are dealt by their bytes.
     asked = queries.join(groups, F.col("dim") == F.col("g_dim")).select(F.col("dim").alias("q_dim"), F.col("batch").alias("q_batch"), "q_group", "vec_id", "v")
     offered = boxes.withColumn("batch", F.explode(F.sequence(F.lit(0), count - 1)))
 
@@ -214,7 +215,7 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE) -> Dat
     def searched(pairs: DataFrame) -> DataFrame:
         """The best of each query in the slabs that it is sent to. A slab is copied for every so many queries that it gets."""
         load = pairs.groupBy("slab", "dim").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("copies"))
-        dealt = pairs.join(load, ["slab", "dim"]).withColumn("batch", F.pmod(F.xxhash64(F.lit(23), "query_id"), F.col("copies")))
+        dealt = pairs.join(load, ["slab", "dim"]).withColumn("batch", F.pmod(F.xxhash64(F.lit(23), "query_id"), F.col("copies")).cast("int"))
         left = dealt.join(whole.select(F.col("vec_id"), F.col("dim").alias("v_dim"), "v"), (F.col("query_id") == F.col("vec_id")) & (F.col("dim") == F.col("v_dim"))).select("vec_id", "v", F.col("slab").alias("q_slab"), F.col("dim").alias("q_dim"), F.col("batch").alias("q_batch"), "floor")
         right = slabs.join(load, ["slab", "dim"]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         return left.groupBy("q_slab", "q_dim", "q_batch").cogroup(right.groupBy("slab", "dim", "batch")).applyInPandas(pair, "query_id long, vec_id long, score long")

@@ -352,6 +352,28 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk_search.top_k(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_over_many_partitions(spark, monkeypatch):
+    """Groups that meet must meet wherever they are dealt: nothing puts small partitions together here."""
+    monkeypatch.setattr(topk_search, "SLAB", 64)
+    monkeypatch.setattr(topk_search, "BOX", 16)
+    monkeypatch.setattr(topk_search, "QUERIES_AT_ONCE", 8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    r = np.random.default_rng(13)
+    v = r.normal(size=(900, 5))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in topk_search.top_k(rows, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    for k, old in before.items():
+        spark.conf.set(k, old)
+    whole = np.floor(64 * v).astype(int)
+    for q in range(0, 900, 20):
+        best = sorted(((-int(whole[q] @ whole[i]), i) for i in range(900) if i != q))[:20]
+        assert got[q] == [(i, -s) for s, i in best]
+
+
 def test_box_bounds_hold():
     r = np.random.default_rng(8)
     for size in (3, 40, 10**9):
