@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ LONGEST_GRAM = 5
 #: What a language loses for a word or n-gram that it never showed.
 PENALTY = 7.0
 #: Bytes of one generation of a worker's memo.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 52 << 20
 #: Costs are kept as integers, in so many parts of one.
 SCALE = 1 << 20
 UNDETERMINED = "und"
@@ -46,55 +45,67 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-class Units:
-    """Costs of the words, or of the n-grams of one length, by a 64-bit hash of the unit: flat arrays, so that a model
-    of millions of units is small in every worker. Languages that never showed a unit have no cost there."""
+LANE = 64
+LANE_MASK = (1 << LANE) - 1
 
-    def __init__(self, units: list[str], langs: np.ndarray, costs: np.ndarray, languages: int):
-        codes = np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64)
-        order = np.lexsort((langs, codes))
-        self.languages, self.langs, self.costs = languages, langs[order].astype(np.int32), costs[order].astype(np.float32)
-        self.codes, self.starts = np.unique(codes[order], return_index=True)
-        self.starts = np.r_[self.starts, len(order)]
 
-    def known(self, units: list[str]) -> np.ndarray:
-        """A row of costs for each of the units that is known."""
-        codes = np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        at = at[self.codes[at] == codes] if len(self.codes) else at[:0]
-        rows = np.full((len(at), self.languages), PENALTY)
-        for row, i in zip(rows, at, strict=True):
-            span = slice(self.starts[i], self.starts[i + 1])
-            row[self.langs[span]] = self.costs[span]
-        return rows
+def pack(costs) -> int:
+    """Costs as one integer, a lane of 64 bits for each language, so that sums of costs are exact in any order."""
+    return sum(round(float(c) * SCALE) << LANE * i for i, c in enumerate(costs))
 
 
-class Model:
-    """languages: in order; costs: Units by their length in characters (0: words).
+def mean(packed: list[int], languages: int) -> int:
+    """The mean of packed costs, lane by lane, to the nearest."""
+    n, total = len(packed), sum(packed)
+    if n == 1:
+        return total
+    return sum(((total >> LANE * i & LANE_MASK) + n // 2) // n << LANE * i for i in range(languages))
 
-    A word's costs are packed into one integer, a lane of 64 bits for each language, so that the costs
-    of a text are one exact sum in any order.
-    """
+
+class Units(dict):
+    """Packed costs of the words, or of the n-grams of one length. A language that never showed a unit has the penalty there.
+    Few costs differ, so units share them, also in a worker: a model of many units is little more than their names."""
+
+    def __init__(self, units: list[str], at: np.ndarray, values: list[int]):
+        super().__init__(zip(units, map(values.__getitem__, at.tolist()), strict=True))
+
+    @staticmethod
+    def of(units: list[str], langs: np.ndarray, costs: np.ndarray, languages: int) -> "Units":
+        unseen, most, packed = pack([PENALTY] * languages), round(PENALTY * SCALE), {}
+        for unit, lang, cost in zip(units, langs.tolist(), np.rint(costs * SCALE).astype(np.int64).tolist(), strict=True):
+            packed[unit] = packed.get(unit, unseen) - (most - cost << LANE * lang)
+        place: dict[int, int] = {}
+        at = np.fromiter((place.setdefault(v, len(place)) for v in packed.values()), np.int32, len(packed))
+        return Units(list(packed), at, list(place))
+
+    def __reduce__(self):
+        place: dict[int, int] = {}
+        at = np.fromiter((place.setdefault(v, len(place)) for v in self.values()), np.int32, len(self))
+        return Units, (list(self), at, list(place))
+
+
+class Model:
+    """languages: in order; costs: Units by their length in characters (0: words)."""
 
     def __init__(self, languages: list[str], costs: list[Units]):
         self.languages, self.costs = languages, costs
-        self.memo = TwoGenerations(lambda w: self.pack(self.cost(w)), MEMO_BYTES)
+        self.memo = TwoGenerations(self.cost, MEMO_BYTES)
+        self.unheard = pack([PENALTY] * len(languages))
 
     def __reduce__(self):
         return Model, (self.languages, self.costs)
 
-    @staticmethod
-    def pack(costs: np.ndarray) -> int:
-        return int.from_bytes(np.rint(costs * SCALE).astype("<u8").tobytes(), "little")
-
-    def cost(self, word: str) -> np.ndarray:
-        """Known words cost their negative log frequency; else the longest known n-grams' mean."""
-        found = self.costs[0].known([word])
-        for n in range(LONGEST_GRAM, 0, -1):
-            if len(found):
-                break
-            found = self.costs[n].known(grams(word, n))
-        return found.mean(axis=0) if len(found) else np.full(len(self.languages), PENALTY)
+    def cost(self, word: str) -> int:
+        """Known words cost their negative log frequency; else the longest known n-grams' mean; packed."""
+        known = self.costs[0].get(word)
+        if known is not None:
+            return known
+        for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
+            of = self.costs[n]
+            found = [of[g] for g in grams(word, n) if g in of]
+            if found:
+                return mean(found, len(self.languages))
+        return self.unheard
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, n = 0, 0
@@ -140,7 +151,7 @@ def train(labelled: DataFrame, row_id: str = "doc_id", fit_rows: int = FIT_ROWS)
     for n in range(LONGEST_GRAM + 1):
         part = kept.where(F.col("n") == n).drop("n").toArrow()
         langs = np.array([place[x] for x in part["lang"].to_pylist()], np.int32)
-        costs.append(Units(part["unit"].to_pylist(), langs, part["cost"].to_numpy(), len(languages)))
+        costs.append(Units.of(part["unit"].to_pylist(), langs, part["cost"].to_numpy(), len(languages)))
     return Model(languages, costs)
 
 
