@@ -159,7 +159,7 @@ TWINS = {
     "protected_change": (protected_change, f"""WITH {CUES}, said AS (SELECT stream_id, turn, CASE WHEN turn % 3 = 0 THEN 'no ' || text ELSE text END AS said FROM cues),
       keyed AS (SELECT stream_id, turn, {KEY.format('said')} AS b, lag({KEY.format('said')}) OVER (PARTITION BY stream_id ORDER BY turn) AS a FROM said)
       SELECT stream_id, turn, {_DIFFER} AS protected FROM keyed WHERE a IS NOT NULL"""),
-    "letters_only": (letters_only, r"SELECT item_id, lower(regexp_replace(nfc_normalize(text), '[^\p{L}\p{N}]', '', 'g')) AS letters FROM benchmark"),
+    "letters_only": (letters_only, r"SELECT item_id, replace(lower(regexp_replace(nfc_normalize(text), '[^\p{L}\p{N}]', '', 'g')), 'ß', 'ss') AS letters FROM benchmark"),
     "edit_distance": (edit_distance, f"""WITH pairs AS (SELECT item_id, text AS a, lead(text) OVER (ORDER BY item_id, text) AS b FROM benchmark), told AS (SELECT *, list_distinct(regexp_extract_all(a || b, '(?s).')) AS letters FROM pairs)
       SELECT item_id, CAST(levenshtein({_IN_BYTES.format('a')}, {_IN_BYTES.format('b')}) AS INTEGER) AS edits FROM told"""),
     "timecode_parse": (timecode_parse, f"WITH {CUES} SELECT stream_id, turn, start_ms AS ms FROM cues"),
