@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -139,15 +140,14 @@ def aligned(reference: DataFrame, output: DataFrame) -> DataFrame:
     marked = both.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
     parts = marked.withColumn("part", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("__new")
 
-    def run(cues: list[dict]) -> list[tuple]:
+    def run(part: Iterable[dict]) -> Iterable[tuple]:
+        cues = list(part)
         a, b = ([r | {"key": text_key(r["text"])} for r in sorted(cues, key=lambda r: r["nth"]) if r["side"] == side] for side in (0, 1))
-        rows = []
         for i, j in align(a, b):
             x, y = a[i] if i is not None else None, b[j] if j is not None else None
             kx, ky = x["key"] if x else "", y["key"] if y else ""
             delta = [round(y[c] - x[c], 6) for c in ("start", "end")] if x and y else [None, None]
-            rows.append((cues[0]["stream_id"], x and x["nth"], y and y["nth"], distance(kx, ky), len(kx), bool(x and y) and kx == ky, *delta))
-        return rows
+            yield (cues[0]["stream_id"], x and x["nth"], y and y["nth"], distance(kx, ky), len(kx), bool(x and y) and kx == ky, *delta)
 
     return in_groups(parts, ("stream_id", "part"), ("nth", "side"), run, PAIR)
 

@@ -53,3 +53,20 @@ def test_report_reads_the_alignment_once(spark):
     assert got == [(1, 2, 2, 1, 1, 1, 1, round(7 / 9, 6), 0.1, 0.3, 0.3), (2, 1, 1, 0, 0, 0, 1, round(1 / 6, 6), None, None, None)]
     assert seen.value == len(rows)
     assert alignment.report(pairs).select(F.col("reference_cues")).first()[0] == 3
+
+
+def test_groups_are_worked_through_in_order_and_whole(spark):
+    """Groups larger than an Arrow batch stay whole; null values stay null and numbers whole."""
+    from cuestream.operators.streams import in_groups
+
+    rows = [(s, p, f, None if f % 3 else f) for s in range(5) for p in range(3) for f in range(700 if s == 1 else 4)] + [(None, 0, f, f) for f in range(3)]
+    made = spark.createDataFrame(rows, "stream_id long, part int, frame long, x long").orderBy(F.rand(5)).repartition(3, "stream_id")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        told = lambda group: [(group[0]["stream_id"], len(group), [r["frame"] for r in group] == list(range(len(group))), group[0]["x"], group[-1]["x"])]
+        got = sorted((tuple(r) for r in in_groups(made, ("stream_id", "part"), ("frame",), lambda g: told(list(g)), "s long, n long, ordered boolean, a long, z long").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = [(s, n, True, 0, n - 1 if (n - 1) % 3 == 0 else None) for s, n in ((0, 4), (1, 700), (2, 4), (3, 4), (4, 4)) for _ in range(3)] + [(None, 3, True, 0, 2)]
+    assert got == sorted(want, key=str)
