@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuestream.operators import evidence as E
 from cuestream.operators import masks as M
+from cuestream.operators.streams import in_groups
 
 # Seconds that a group may last, and bytes that it may hold.
 GROUP_S, GROUP_BYTES = 1.5, 64 << 20
@@ -24,17 +26,31 @@ def scan_groups(rows: DataFrame, masks: DataFrame, seconds: float = GROUP_S, mos
     what is shown without a blank."""
     met = rows.select("stream_id", "frame", "start").join(masks, ["stream_id", "frame"])
     w = W.partitionBy("stream_id").orderBy("frame")
-    blank = F.regexp_replace(F.hex("bits"), "0", "") == ""
-    cut = met.withColumn("part", F.sum(F.when(blank | F.coalesce(F.lag(blank).over(w), F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders, leader, held = [], None, 0
-        for row in pdf.sort_values("frame").itertuples(index=False):
-            mask = E.unpacked(row.height, row.width, row.bits)
-            if leader is None or row.start - leader[0].start >= seconds or held + mask.size > most_bytes or not M.compatible(leader[1], mask):
-                leader, held = (row, mask), 0
-            held += mask.size
-            leaders.append((row.stream_id, row.frame, leader[0].frame))
-        return pd.DataFrame(leaders, columns=["stream_id", "frame", "leader"])
-
-    return cut.groupBy("stream_id", "part").applyInPandas(run, LEADER)
+    # Only masks with a pixel are sent to Python; frames without any are their own leaders.
+    shown = met.withColumn("bits", F.when(F.hex("bits").rlike("[^0]"), F.col("bits")))
+    new = F.col("bits").isNull() | F.lag("bits").over(w).isNull()
+    cut = shown.withColumn("part", F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    def run(part: Iterable[dict]) -> Iterable[tuple]:
+        leader, held = None, 0
+        for row in part:
+            if row["bits"] is None:
+                yield (row["stream_id"], row["frame"], row["frame"])
+                continue
+            size = row["height"] * row["width"]
+            if leader is None or row["start"] - leader["start"] >= seconds or held + size > most_bytes or not serves(leader, row):
+                leader, held = row, 0
+            held += size
+            yield (row["stream_id"], row["frame"], leader["frame"])
+
+    return in_groups(cut, ("stream_id", "part"), ("frame",), run, LEADER)
+
+
+def serves(leader: dict, row: dict) -> bool:
+    """Whether the masks of two frames are compatible; the leader's is unpacked once."""
+    if "mask" not in leader:
+        leader["mask"] = E.unpacked(leader["height"], leader["width"], leader["bits"])
+        leader["itself"] = bool(M.compatible(leader["mask"], leader["mask"]))
+    if all(leader[k] == row[k] for k in ("height", "width", "bits")):
+        return leader["itself"]
+    return bool(M.compatible(leader["mask"], E.unpacked(row["height"], row["width"], row["bits"])))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from cuestream.operators import evidence as E
@@ -71,11 +70,9 @@ def picture(mask: int) -> dict:
 
 
 def _masks(spark, sf_dir):
-    def draw(batches):
-        for pdf in batches:
-            yield pdf[["stream_id", "frame"]].join(pd.DataFrame([picture(m) for m in pdf["mask"]], index=pdf.index, columns=["height", "width", "bits"]))
-
-    return _played(spark, sf_dir).select("stream_id", "frame", "mask").mapInPandas(draw, E.MASK)
+    """The few pictures are joined to their frames: a use that wants some frames only draws no others."""
+    pictures = spark.createDataFrame([(m, *picture(m).values()) for m in sorted({0} | {row[7] for row in SCRIPT})], "mask int, height int, width int, bits binary")
+    return _played(spark, sf_dir).join(F.broadcast(pictures), "mask").select("stream_id", "frame", "height", "width", "bits")
 
 
 def _second(spark, sf_dir):

@@ -70,3 +70,40 @@ def test_groups_are_worked_through_in_order_and_whole(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     want = [(s, n, True, 0, n - 1 if (n - 1) % 3 == 0 else None) for s, n in ((0, 4), (1, 700), (2, 4), (3, 4), (4, 4)) for _ in range(3)] + [(None, 3, True, 0, 2)]
     assert got == sorted(want, key=str)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scan_groups_of_many_blanks_are_one_pass(spark):
+    """Blank frames and short groups, against a plain loop; no group has a call of its own."""
+    import numpy as np
+
+    from cuestream.operators import evidence as E
+    from cuestream.operators import masks as M
+    from cuestream.operators import scans
+
+    made, shown = np.random.default_rng(5), {}
+    pictures = [made.random((12, 20)) < 0.5 for _ in range(2)]
+    for stream in range(3):
+        for frame in range(120):
+            kind = made.integers(0, 5)
+            mask = np.zeros((12, 20), bool) if kind < 2 else pictures[kind % 2].copy()
+            mask[0, 0] ^= bool(kind == 4) and bool(mask.any())
+            shown[stream, frame] = mask
+    shown[0, 50] = shown[0, 50][:, :10]  # another size
+    want = []
+    for stream in range(3):
+        leader, held = None, 0
+        for frame in range(120):
+            mask = shown[stream, frame]
+            if leader is None or (frame - leader) * 0.25 >= 1.5 or held + mask.size > 1000 or not M.compatible(shown[stream, leader], mask):
+                leader, held = frame, 0
+            held += mask.size
+            want.append((stream, frame, leader))
+    rows = spark.createDataFrame([(s, f, f * 0.25) for s, f in shown], "stream_id long, frame long, start double")
+    masks = spark.createDataFrame([(s, f, *E.packed(m).values()) for (s, f), m in shown.items()], E.MASK)
+    got = scans.scan_groups(rows, masks, most_bytes=1000)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "FlatMapGroupsInPandas" not in _plan(got)
