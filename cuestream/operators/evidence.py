@@ -65,9 +65,11 @@ def union(a: Column, b: Column) -> Column:
 def tested(pairs: DataFrame, masks: DataFrame, test: Test, name: str = "alike") -> DataFrame:
     """pairs (stream_id, a, b and whatever the test needs) with whether the masks of frames a and b pass the test.
 
-    A frame without a mask proves nothing. Only masks of frames that are asked for are sent, once for each pair."""
+    A frame without a mask proves nothing. Only masks of frames that are asked for are sent, once for each pair: what makes or reads
+    the masks sees the frames first."""
     ids = [c for c in pairs.columns]
-    of = lambda side: masks.select(F.col("stream_id").alias(f"__{side}s"), F.col("frame").alias(f"__{side}f"), F.struct("height", "width", "bits").alias(f"__{side}"))
+    asked = lambda side: masks.join(pairs.select("stream_id", F.col(side).alias("frame")), ["stream_id", "frame"], "left_semi")
+    of = lambda side: asked(side).select(F.col("stream_id").alias(f"__{side}s"), F.col("frame").alias(f"__{side}f"), F.struct("height", "width", "bits").alias(f"__{side}"))
     met = pairs
     for side in ("a", "b"):
         met = met.join(of(side), (F.col("stream_id") == F.col(f"__{side}s")) & (F.col(side) == F.col(f"__{side}f")), "left").drop(f"__{side}s", f"__{side}f")

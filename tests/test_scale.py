@@ -107,3 +107,45 @@ def test_scan_groups_of_many_blanks_are_one_pass(spark):
     got = scans.scan_groups(rows, masks, most_bytes=1000)
     assert sorted(map(tuple, got.collect())) == want
     assert "FlatMapGroupsInPandas" not in _plan(got)
+
+
+def _track_rows(made, n):
+    at, out = 0.0, []
+    for i in range(n):
+        boxes = [{"x": 0.2 + made.choice([0, 0, 0, 0.02]), "y": y + made.choice([0] * 9 + [0.06]), "w": 0.6, "h": made.choice([0.2] * 9 + [0.3])} for y in (0.2, 0.6)[: made.randint(1, 2)]]
+        lines = [{"box": b, "candidates": [{"text": made.choice(["ab"] * 9 + ["c d"]), "confidence": made.choice([0.9, 0.35])}]} for b in boxes]
+        out.append({"stream_id": 1, "frame": i, "start": at, "end": at + 0.04, "text": made.choice(["", "ab"]), "lines": lines})
+        at += 0.04
+    return out
+
+
+def test_tracks_of_a_stream_are_one_pass(spark):
+    """Tracks are those of each part by itself, in the form that the schema asks for; lines without any reading give none."""
+    from cuestream.operators import tracks as K
+    from cuestream.sources.subtitles import LINE
+
+    made = random.Random(8)
+    rows = [r | {"stream_id": s} for s in range(4) for r in _track_rows(made, 200)]
+    df = spark.createDataFrame([(r["stream_id"], r["frame"], r["start"], r["end"], r["text"], r["lines"]) for r in rows], f"stream_id long, frame long, start double, end double, text string, lines array<{LINE}>")
+    want = sorted((s, i, t["text"], t["first"]["frame"], t["last"]["frame"], t["items"], t["confident"]) for s in range(4) for i, t in enumerate(K.tracks([r for r in rows if r["stream_id"] == s])))
+    got = K.line_tracks(df)
+    assert want and sorted(map(tuple, got.collect())) == want
+    items = K.track_items(df)
+    assert items.count() == sum(t[5] for t in want)
+    assert "FlatMapGroupsInPandas" not in _plan(got) + _plan(items)
+    unread = {"box": {"x": 0.1, "y": 0.1, "w": 0.1, "h": 0.1}, "candidates": []}
+    assert K.tracks([{"start": i * 0.04, "end": i * 0.04 + 0.04, "text": "", "lines": [unread]} for i in range(6)]) == []
+
+
+def test_masks_are_drawn_for_the_frames_that_are_asked_for(spark):
+    """Pictures are joined after the frames are chosen, so what is shuffled are the frames."""
+    from cuestream.operators import evidence as E
+    from cuestream.plans import repair_queries as Q
+
+    masks = Q._masks(spark, "/root/testdata/sf0.001")
+    pairs = masks.where("frame % 50 = 3").select("stream_id", F.col("frame").alias("a"), (F.col("frame") + 1).alias("b"))
+    seen = E.tested(pairs, masks, lambda a, b, row: a.shape == b.shape)
+    plan = _plan(seen).splitlines()
+    assert "MapInPandas" not in _plan(masks)
+    semi = [len(line) - len(line.lstrip(" :+-")) for line in plan if "Join LeftSemi" in line]
+    assert len(semi) == 2 and seen.where("alike").count() > 0
