@@ -149,3 +149,13 @@ def test_masks_are_drawn_for_the_frames_that_are_asked_for(spark):
     assert "MapInPandas" not in _plan(masks)
     semi = [len(line) - len(line.lstrip(" :+-")) for line in plan if "Join LeftSemi" in line]
     assert len(semi) == 2 and seen.where("alike").count() > 0
+
+
+def test_negations_end_at_accented_letters(spark):
+    """Word boundaries are those of the reference's pattern (Python's re): an accented letter is part of a word."""
+    from cuestream.functions import readings as R
+    from cuestream.functions import text as T
+
+    pairs = [("noó es", "si es"), ("la ciónno", "la cióno"), ("le pasé", "le pose"), ("él no es", "él es"), ("ñno", "ñ no"), ("É ne", "é ne")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(T.protected_change(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r.p for r in got] == [R.protected(a, b) for a, b in pairs] == [False, False, False, True, True, False]
