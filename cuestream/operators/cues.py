@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuestream.functions import text as T
+from cuestream.operators.lineage import checkpointed
 
 
 def metrics(cues: DataFrame, *group: str, short_ms: int = 200) -> DataFrame:
@@ -21,6 +22,30 @@ def nearest_rank(column: str, fraction: float) -> Column:
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})")
 
 
+def nearest_ranks(rows: DataFrame, group: str, column: str, fractions: dict[str, float]) -> DataFrame:
+    """nearest_rank for each group and fraction, also where few groups hold most of the values; null for a group without any.
+
+    Values are counted, dealt by ranges of group and value, and only the ranges in which a rank falls are added up; one task
+    sums no more than a count for each range and group."""
+    value, n = F.col(column), F.when(F.col(column).isNotNull(), F.col("__n")).otherwise(0)
+    counts = checkpointed(rows.groupBy(group, column).agg(F.count("*").alias("__n")))
+    dealt = checkpointed(counts.repartitionByRange(group, column).withColumn("__n", n).withColumn("__part", F.spark_partition_id()))
+    parts = dealt.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__of")).agg(F.sum("__n").alias("__in"))
+    w = W.partitionBy("__group")
+    before = F.coalesce(F.sum("__in").over(w.orderBy("__of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = checkpointed(parts.select("__group", "__of", "__in", before.alias("__before"), F.sum("__in").over(w).alias("__total")))
+    at = {name: F.greatest(F.lit(1.0), F.col("__total") * F.lit(float(f))) for name, f in fractions.items()}
+    holds = F.lit(False)
+    for place in at.values():
+        holds = holds | ((F.col("__before") < place) & (F.col("__before") + F.col("__in") >= place))
+    met = dealt.join(F.broadcast(ends.where(holds)), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")))
+    upto = F.col("__before") + F.sum("__n").over(W.partitionBy("__group", "__of").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
+    told = met.withColumn("__upto", upto).where(value.isNotNull())
+    found = told.groupBy("__group").agg(*[F.min(F.when((F.col("__before") < place) & (F.col("__upto") >= place), value)).alias(name) for name, place in at.items()])
+    groups = ends.select(F.col("__group").alias(group)).distinct()
+    return groups.join(F.broadcast(found), F.col(group).eqNullSafe(F.col("__group")), "left").select(group, *fractions)
+
+
 def lower_index(rows: DataFrame, group: str, column: str, fractions: dict[str, float]) -> DataFrame:
     """For each group and fraction the sorted values' element at the whole part of fraction * (count - 1).
 

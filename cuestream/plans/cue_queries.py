@@ -33,7 +33,7 @@ def segmentation_analysis(spark, sf_dir):
 
 
 def percentile_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[C.nearest_rank("l_extendedprice", f).alias(n) for f, n in ((0.5, "p50"), (0.95, "p95"))], F.max("l_extendedprice").alias("most"))
+    return C.nearest_ranks(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": 0.5, "p95": 0.95, "most": 1.0})
 
 
 def percentile_lower_index(spark, sf_dir):

@@ -159,3 +159,19 @@ def test_negations_end_at_accented_letters(spark):
     pairs = [("noó es", "si es"), ("la ciónno", "la cióno"), ("le pasé", "le pose"), ("él no es", "él es"), ("ñno", "ñ no"), ("É ne", "é ne")]
     got = spark.createDataFrame(pairs, "a string, b string").select(T.protected_change(F.col("a"), F.col("b")).alias("p")).collect()
     assert [r.p for r in got] == [R.protected(a, b) for a, b in pairs] == [False, False, False, True, True, False]
+
+
+def test_nearest_ranks_of_few_groups_are_spread(spark):
+    """As percentile_disc has them, with ties, nulls, a null group and one without values; no task adds up a whole group."""
+    from cuestream.operators import cues as C
+
+    made = random.Random(4)
+    rows = [("a", float(made.randint(0, 3000))) for _ in range(4000)] + [("b", made.random()) for _ in range(999)] + [("a", None), ("none", None), ("one", 5.0), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    fractions = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "most": 1.0}
+    want = df.groupBy("g").agg(*[C.nearest_rank("v", f).alias(n) for n, f in fractions.items()])
+    got = C.nearest_ranks(df, "g", "v", fractions)
+    key = lambda r: str(r[0])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    spread = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert spread and all("__of" in line for line in spread)
