@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from cuestream.functions import readings as R
+from cuestream.operators.lineage import checkpointed
 
 MASK = "stream_id long, frame long, height int, width int, bits binary"
 #: A type and not its name: this module is also read where there is no session.
@@ -66,7 +67,8 @@ def tested(pairs: DataFrame, masks: DataFrame, test: Test, name: str = "alike")
     """pairs (stream_id, a, b and whatever the test needs) with whether the masks of frames a and b pass the test.
 
     A frame without a mask proves nothing. Only masks of frames that are asked for are sent, once for each pair: what makes or reads
-    the masks sees the frames first."""
+    the masks sees the frames first. Pairs are worked out once."""
+    pairs = checkpointed(pairs)
     ids = [c for c in pairs.columns]
     asked = lambda side: masks.join(pairs.select("stream_id", F.col(side).alias("frame")), ["stream_id", "frame"], "left_semi")
     of = lambda side: asked(side).select(F.col("stream_id").alias(f"__{side}s"), F.col("frame").alias(f"__{side}f"), F.struct("height", "width", "bits").alias(f"__{side}"))
