@@ -8,12 +8,12 @@ from functools import cached_property
 from itertools import accumulate, takewhile
 from statistics import median
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuestream.functions import readings as R
+from cuestream.operators.streams import in_groups
 
 # Reaches in seconds and shares that results depend on.
 EPS = 1e-9
@@ -30,6 +30,7 @@ EVENT = (
     "stream_id long, part long, nth int, start double, end double, text string, confidence double, frames long, agreement double, evidence_time double, first_frame long, last_frame long, "
     "flags array<string>, variants map<string,long>"
 )
+EVENT_FIELDS = ("start", "end", "text", "confidence", "frames", "agreement", "evidence_time", "first_frame", "last_frame", "flags", "variants")
 
 
 class Run:
@@ -367,12 +368,8 @@ def shadow_clusters(rows: list[dict], threshold: float = 0.85, blank_gap: float
     return [c.summary() for c in clusters]
 
 
-def _rows(pdf: pd.DataFrame) -> list[dict]:
-    rows = pdf.sort_values("frame").to_dict("records")
-    for r in rows:
-        lines = r.get("lines")
-        r["lines"] = [{"box": x["box"], "candidates": list(x["candidates"])} for x in lines] if lines is not None else []
-    return rows
+def _rows(part: Iterable[dict]) -> list[dict]:
+    return [r | {"lines": r.get("lines") or []} for r in part]
 
 
 def parts(rows: DataFrame, cut: float = CUT_S) -> DataFrame:
@@ -391,26 +388,24 @@ def segment(rows: DataFrame) -> DataFrame:
     """Observations (stream_id, frame, start, end, text, confidence, lines and, where they are, the markers of
     repairs) to events with ids from 1 in each stream."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        events = make_events(_rows(pdf))
-        names = [f.strip().split(" ")[0] for f in EVENT.replace("map<string,long>", "map").split(",")]
-        frame = pd.DataFrame(events, columns=names[3:])
-        frame.insert(0, "nth", range(len(events)))
-        frame.insert(0, "part", pdf["part"].iloc[0])
-        frame.insert(0, "stream_id", pdf["stream_id"].iloc[0])
-        return frame
+    def run(part: Iterable[dict]) -> Iterable[tuple]:
+        rows = _rows(part)
+        for nth, e in enumerate(make_events(rows)):
+            yield (rows[0]["stream_id"], rows[0]["part"], nth, *[list(e[k].items()) if k == "variants" else e[k] for k in EVENT_FIELDS])
 
-    events = parts(rows).groupBy("stream_id", "part").applyInPandas(run, EVENT)
+    events = in_groups(parts(rows), ("stream_id", "part"), ("frame",), run, EVENT)
     return events.withColumn("id", F.row_number().over(W.partitionBy("stream_id").orderBy("part", "nth")).cast("long")).drop("part", "nth")
 
 
 def shadow(rows: DataFrame) -> DataFrame:
     """shadow_clusters of each stream; cut where its gap ends every cluster anyway."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(shadow_clusters(_rows(pdf)), columns=["start", "end", "first_frame", "last_frame", "text", "frames", "agreement", "merged_different_readings"])
-        found.insert(0, "stream_id", pdf["stream_id"].iloc[0])
-        return found
+    fields = ("start", "end", "first_frame", "last_frame", "text", "frames", "agreement", "merged_different_readings")
+
+    def run(part: Iterable[dict]) -> Iterable[tuple]:
+        rows = _rows(part)
+        for c in shadow_clusters(rows):
+            yield (rows[0]["stream_id"], *[c[k] for k in fields])
 
     schema = "stream_id long, start double, end double, first_frame long, last_frame long, text string, frames long, agreement double, merged_different_readings boolean"
-    return parts(rows).groupBy("stream_id", "part").applyInPandas(run, schema)
+    return in_groups(parts(rows), ("stream_id", "part"), ("frame",), run, schema)

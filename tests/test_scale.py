@@ -175,3 +175,16 @@ def test_nearest_ranks_of_few_groups_are_spread(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
     spread = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
     assert spread and all("__of" in line for line in spread)
+
+
+def test_segments_are_one_pass(spark):
+    """Events of many short parts, as each part by itself gives them; no part has a call of its own."""
+    from cuestream.operators import segment as S
+    from cuestream.sources.subtitles import LINE
+
+    rows = [(s, f, f * 0.04, f * 0.04 + 0.04, "" if f % 20 >= 11 else f"line {f // 20}", 0.9, []) for s in range(3) for f in range(200)]
+    df = spark.createDataFrame(rows, f"stream_id long, frame long, start double, end double, text string, confidence double, lines array<{LINE}>")
+    got, shadow = S.segment(df), S.shadow(df)
+    assert sorted((r.stream_id, r.id, r.text, r.frames, dict(r.variants)) for r in got.collect()) == [(s, k + 1, f"line {k}", 11, {f"line {k}": 11}) for s in range(3) for k in range(10)]
+    assert shadow.count() == 30
+    assert "FlatMapGroupsInPandas" not in _plan(got) + _plan(shadow)
