@@ -36,12 +36,16 @@ SCRIPT = (
     (15, 0, 4, "upper line of a scene", 0.9, "lower line of a scane", 0.9, 9, None), (15, 5, 12, "upper line of a scene", 0.9, "lower line of a scene", 0.9, 1, None),
 )
 COLUMNS = "scene int, first int, last int, l1 string, c1 double, l2 string, c2 double, mask int, second string"
+#: Frames that a task draws, about.
+TASK_FRAMES = 50_000
 
 
 def _played(spark, sf_dir):
     """A scene for every fifty frames of a stream, in turns."""
-    frames = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("stream_id")).agg(F.count("*").alias("n"))
-    frames = frames.select("stream_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame")).select("stream_id", F.col("frame").cast("long").alias("frame"))
+    events = table(spark, sf_dir, "events")
+    # Frames are drawn from counts, whose few bytes Spark would leave to one task or a few: tasks go by the frames.
+    counted = events.groupBy(F.col("user_id").alias("stream_id")).agg(F.count("*").alias("n")).repartition(events.count() // TASK_FRAMES + 1, "stream_id")
+    frames = counted.select("stream_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame")).select("stream_id", F.col("frame").cast("long").alias("frame"))
     at = frames.withColumn("p", F.col("frame") % SCENE_FRAMES).withColumn("at", F.pmod(F.col("stream_id") + F.floor(F.col("frame") / SCENE_FRAMES) * 7, F.lit(SCENES)))
     script = spark.createDataFrame(list(SCRIPT), COLUMNS)
     met = at.join(F.broadcast(script), (F.col("at") == F.col("scene")) & F.col("p").between(F.col("first"), F.col("last")), "left")

@@ -188,3 +188,42 @@ def test_segments_are_one_pass(spark):
     assert sorted((r.stream_id, r.id, r.text, r.frames, dict(r.variants)) for r in got.collect()) == [(s, k + 1, f"line {k}", 11, {f"line {k}": 11}) for s in range(3) for k in range(10)]
     assert shadow.count() == 30
     assert "FlatMapGroupsInPandas" not in _plan(got) + _plan(shadow)
+
+
+def test_frames_are_dealt_by_their_number(spark, monkeypatch):
+    """Counts of streams are few bytes: the frames drawn from them still go to a task for so many."""
+    from cuestream.plans import repair_queries as Q
+
+    monkeypatch.setattr(Q, "TASK_FRAMES", 500, raising=False)
+    rows = Q._rows(spark, "/root/testdata/sf0.01")
+    tasks = [r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count() == 10_000
+    assert len(tasks) > 10 and max(tasks) < 2500
+
+
+def test_parts_whose_rows_show_their_lines_are_not_sent(spark):
+    """Only parts that may have a track are worked through, whatever else readings hold; no track is lost."""
+    from cuestream.operators import tracks as K
+    from cuestream.sources.subtitles import LINE
+
+    made, at = random.Random(11), 0.0
+    said = ["ab", " ab", "a  b", "你 好", "你\u2028好", "e\u0301", "\u0301e", "\u2018a\u2019", "a\tb", "b\x85c", "a\nb", "", "-"]
+    rows = []
+    for part in range(120):
+        held = made.sample(said, 2)
+        dips = part % 3 == 0
+        for k in range(made.choice([4, 6, 8])):
+            box = lambda y: {"x": 0.2, "y": y, "w": 0.6, "h": 0.2}
+            lines = [{"box": box(y), "candidates": [{"text": t, "confidence": 0.9 if k % 2 else 0.6}, {"text": "other", "confidence": 0.5}]} for t, y in zip(held, (0.2, 0.6), strict=True)]
+            rows.append((1, len(rows), at, at + 0.04, held[0] if dips and k == 2 else "\n".join(held), lines))
+            at += 0.04
+        rows.append((1, len(rows), at, at + 0.04, "", []))
+        at += 0.04
+    df = spark.createDataFrame(rows, f"stream_id long, frame long, start double, end double, text string, lines array<{LINE}>")
+    names = ("stream_id", "frame", "start", "end", "text", "lines")
+    want = sorted((t["text"], t["first"]["frame"], t["items"], t["confident"]) for t in K.tracks([dict(zip(names, r, strict=True)) for r in rows]))
+    assert want and sorted(tuple(r)[2:4] + tuple(r)[5:] for r in K.line_tracks(df).collect()) == want
+    assert K.track_items(df).count() == sum(t[2] for t in want)
+    parts = K._parts(df).groupBy("part").agg(F.count("*").alias("n")).collect()
+    assert len(want) <= 2 * len(parts) and all(r.n >= K.LEAST_ITEMS for r in parts)
+    assert len(parts) < 60  # 40 dip, and a reading that breaks lines itself is left to the track
