@@ -502,8 +502,15 @@ def sparse_repairs(rows: DataFrame, masks: DataFrame) -> DataFrame:
 
 def unstable_candidates(rows: DataFrame) -> DataFrame:
     """Frames of brief runs that are blank between equal readings, or have a related reading within two runs: stream_id, frame."""
-    keyed = rows.withColumn("key", T.hangul_key(F.col("text")))
-    table = beside(runs(keyed), l2=-2, l1=-1, r1=1, r2=2).where(F.col("end") - F.col("start") <= UNSTABLE["span"])
+    w = W.partitionBy("stream_id").orderBy("frame")
+    # Rows of one text have one key, which is worked out once; only what is asked of runs goes beside them.
+    new = F.when(F.col("text").eqNullSafe(F.lag("text").over(w)), 0).otherwise(1)
+    spelled = rows.withColumn("__new", new).withColumn("spelled", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("stream_id", "spelled", "text")
+    spelled = spelled.agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
+    keyed = with_run_id(spelled.withColumn("key", T.hangul_key(F.col("text"))), order="first").groupBy("stream_id", "run_id")
+    table = keyed.agg(F.min("key").alias("key"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
+    key = F.struct("key")
+    table = table.select("*", *[F.lead(key, k).over(_by_run()).alias(n) for n, k in (("l2", -2), ("l1", -1), ("r1", 1), ("r2", 2))]).where(F.col("end") - F.col("start") <= UNSTABLE["span"])
     blank = (F.col("key") == "") & (_reading(F.col("l1")) != "") & (F.col("l1.key") == F.col("r1.key"))
     near = F.lit(False)
     for side in ("l2", "l1", "r1", "r2"):
@@ -512,28 +519,39 @@ def unstable_candidates(rows: DataFrame) -> DataFrame:
     return table.where(found).select("stream_id", _frames(F.col("first"), F.col("last")))
 
 
-def unstable_references(rows: DataFrame) -> DataFrame:
-    """For each candidate the related text that its neighbourhood shows most: stream_id, frame, expected, near (its nearest frame)."""
-    asked = unstable_candidates(rows)
-    w = W.partitionBy("stream_id").orderBy("frame").rowsBetween(-UNSTABLE["reach"], UNSTABLE["reach"])
-    around = rows.select("stream_id", "frame", "text", F.collect_list(F.struct("frame", "text", "confidence")).over(w).alias("near"))
-    seen = around.join(asked, ["stream_id", "frame"]).select("stream_id", F.col("frame").alias("at"), F.col("text").alias("own"), F.explode("near").alias("o"))
-    counts = seen.groupBy("stream_id", "at", "own", F.col("o.text").alias("other")).agg(F.count("*").alias("n"), F.avg("o.confidence").alias("mean"), F.min("o.frame").alias("since"), F.min(F.struct(F.abs(F.col("o.frame") - F.col("at")), "o.frame")).alias("d"))
-    mine = counts.where("other = own").select("stream_id", "at", F.col("n").alias("own_n"), F.col("mean").alias("own_mean"))
-    others = counts.where("other != own and other != ''").withColumn("fits", (F.col("own") == "") | E.related(F.col("own"), F.col("other"))).where("fits")
+def unstable_references(rows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """For each candidate, of those asked for if some are given, the related text that its neighbourhood shows most: stream_id,
+    frame, expected, near (its nearest frame)."""
+    asked = unstable_candidates(rows) if asked is None else asked
+    # Only neighbourhoods of asked frames are put together: they meet their rows by stretches of their length, of which they touch two at most.
+    reach, frame = UNSTABLE["reach"], F.col("frame")
+    stretch = lambda c: F.floor(c / (2 * reach + 1))
+    at = asked.select("stream_id", frame.alias("at"), F.explode(F.array_distinct(F.array(stretch(frame - reach), stretch(frame + reach)))).alias("stretch"))
+    met = rows.select("stream_id", "frame", "text", "confidence", stretch(frame).alias("stretch")).join(at, ["stream_id", "stretch"]).where(frame.between(F.col("at") - reach, F.col("at") + reach))
+    # Plain numbers, which are added up without sorting: the nearest frame of a text is the least of twice its distance, plus one if it is after.
+    ahead = frame - F.col("at")
+    counts = met.groupBy("stream_id", "at", F.col("text").alias("other")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"), F.min("frame").alias("since"), F.min(F.abs(ahead) * 2 + (ahead > 0).cast("long")).alias("d"), F.max(ahead == 0).alias("mine"))
+    mine = lambda c, name: F.max(F.when(F.col("mine"), F.col(c))).over(W.partitionBy("stream_id", "at")).alias(name)
+    others = counts.select("*", mine("other", "own"), mine("n", "own_n"), mine("mean", "own_mean")).where("other != own and other != ''")
+    others = others.withColumn("fits", (F.col("own") == "") | E.related(F.col("own"), F.col("other"))).where("fits")
     place = F.row_number().over(W.partitionBy("stream_id", "at").orderBy(F.desc("n"), "since"))
-    best = others.withColumn("place", place).where("place = 1").join(mine, ["stream_id", "at"])
+    best = others.withColumn("place", place).where("place = 1")
     lines = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "\n")))
     leads = (F.col("own") == "") | (F.col("n") > F.col("own_n")) | ((F.col("n") == F.col("own_n")) & (F.col("mean") > F.col("own_mean") + UNSTABLE["lead"]))
     good = best.where((F.col("n") >= UNSTABLE["votes"]) & (lines("other") >= lines("own")) & leads)
-    return good.select("stream_id", F.col("at").alias("frame"), F.col("other").alias("expected"), F.col("d.frame").alias("near"))
+    near = F.col("at") + F.when(F.col("d") % 2 == 1, 1).otherwise(-1) * F.floor(F.col("d") / 2)
+    return good.select("stream_id", F.col("at").alias("frame"), F.col("other").alias("expected"), near.alias("near"))
 
 
 def unstable_repairs(rows: DataFrame, recheck: DataFrame | None) -> DataFrame:
     """Candidates whose second reading is the expected one, for sure enough."""
-    again = E.reread(unstable_references(prepared(rows)), recheck)
-    good = (T.hangul_key(F.coalesce("read", F.lit(""))) == T.hangul_key(F.col("expected"))) & (F.col("read_confidence") >= UNSTABLE["confidence"])
-    return again.where(F.coalesce(good, F.lit(False))).select("stream_id", "frame", F.col("read").alias("text"), F.col("read_confidence").alias("confidence"))
+    rows = prepared(rows)
+    # What no second reading is sure of is no repair, whatever is expected there.
+    again = checkpointed(E.reread(unstable_candidates(rows), recheck).where(F.col("read_confidence") >= UNSTABLE["confidence"]))
+    # Mostly the texts are the same as they stand; keys are no columns to join by, as a sort would work them out for each comparison.
+    good = (F.col("read") == F.col("expected")) | (T.hangul_key(F.coalesce("read", F.lit(""))) == T.hangul_key(F.col("expected")))
+    told = again.join(unstable_references(rows, again), ["stream_id", "frame"])
+    return told.where(F.coalesce(good, F.lit(False))).select("stream_id", "frame", F.col("read").alias("text"), F.col("read_confidence").alias("confidence"))
 
 
 def spacing_targets(rows: DataFrame) -> DataFrame:

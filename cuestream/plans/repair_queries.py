@@ -37,7 +37,7 @@ SCRIPT = (
 )
 COLUMNS = "scene int, first int, last int, l1 string, c1 double, l2 string, c2 double, mask int, second string"
 #: Frames that a task draws, about.
-TASK_FRAMES = 50_000
+TASK_FRAMES = 100_000
 
 
 def _played(spark, sf_dir):

@@ -227,3 +227,73 @@ def test_parts_whose_rows_show_their_lines_are_not_sent(spark):
     parts = K._parts(df).groupBy("part").agg(F.count("*").alias("n")).collect()
     assert len(want) <= 2 * len(parts) and all(r.n >= K.LEAST_ITEMS for r in parts)
     assert len(parts) < 60  # 40 dip, and a reading that breaks lines itself is left to the track
+
+
+def _plain_references(rows):
+    """Of the rows (frame, start, end, text, confidence) of a stream: {frame: (expected, near)} by plain loops, and the candidates."""
+    from itertools import groupby
+
+    from cuestream.functions import readings as R
+
+    runs = [(k, list(g)) for k, g in groupby(rows, key=lambda r: R.comparison_key(r[3]))]
+    asked = []
+    for i, (k, g) in enumerate(runs):
+        beside = {d: runs[i + d][0] if 0 <= i + d < len(runs) else None for d in (-2, -1, 1, 2)}
+        blank = k == "" and bool(beside[-1]) and beside[-1] == beside[1]
+        if g[-1][2] - g[0][1] <= 0.6 and (blank or (k and any(R.related(k, x) for x in beside.values() if x is not None))):
+            asked += [r[0] for r in g]
+    found = {}
+    for at in asked:
+        near, own = [r for r in rows if abs(r[0] - at) <= 20], rows[at][3]
+        told = {t: (len(c := [r[4] for r in near if r[3] == t]), sum(c) / len(c), min(r[0] for r in near if r[3] == t)) for t in {r[3] for r in near}}
+        fits = sorted((-n, since, t, mean) for t, (n, mean, since) in told.items() if t not in (own, "") and (own == "" or R.related(own, t)))
+        if fits:
+            n, _, t, mean = fits[0]
+            lines = [0 if x == "" else x.count("\n") + 1 for x in (t, own)]
+            if -n >= 3 and lines[0] >= lines[1] and (own == "" or -n > told[own][0] or (-n == told[own][0] and mean > told[own][1] + 0.05)):
+                found[at] = (t, min((abs(r[0] - at), r[0]) for r in near if r[3] == t)[1])
+    return found, asked
+
+
+def _unstable_rows(made, n):
+    said, out = ["a line of text", "a line of texs", "a  line of text", "한국어 자막 하나", "한국어자막 하나", "two\nlines of it", "two lines of if", ""], []
+    while len(out) < n:
+        text = made.choice(said)
+        for _ in range(made.choice([1, 1, 2, 3, 9])):
+            out.append((len(out), len(out) * 0.1, len(out) * 0.1 + 0.1, text, made.choice([0.25, 0.5, 0.75, 1.0])))
+    return out
+
+
+def test_unstable_references_are_those_of_plain_loops(spark):
+    """Neighbourhoods that are added up, from stretches of rows, for all candidates and for some; no list of neighbours for each row."""
+    from cuestream.operators import repairs as P
+    from cuestream.sources.subtitles import LINE
+
+    made = random.Random(6)
+    streams = {s: _unstable_rows(made, 300) for s in range(4)}
+    told = [(s, *r, []) for s, rows in streams.items() for r in rows]
+    df = P.prepared(spark.createDataFrame(told, f"stream_id long, frame long, start double, end double, text string, confidence double, lines array<{LINE}>").repartition(7))
+    want = {(s, f): v for s, rows in streams.items() for f, v in _plain_references(rows)[0].items()}
+    assert sorted(map(tuple, P.unstable_candidates(df).collect())) == sorted((s, f) for s, rows in streams.items() for f in _plain_references(rows)[1])
+    got = P.unstable_references(df)
+    assert len(want) > 100 and {(r.stream_id, r.frame): (r.expected, r.near) for r in got.collect()} == want
+    assert "collect_list" not in _plan(got)
+    some = P.unstable_candidates(df).where("frame % 7 = 3")
+    assert {(r.stream_id, r.frame): (r.expected, r.near) for r in P.unstable_references(df, some).collect()} == {k: v for k, v in want.items() if k[1] % 7 == 3}
+
+
+def test_unstable_frames_are_looked_at_where_a_second_reading_is_sure(spark, monkeypatch):
+    """Neighbourhoods of other candidates prove nothing; a reading that is another spelling of the expected one does."""
+    from cuestream.operators import repairs as P
+    from cuestream.sources.subtitles import LINE
+
+    rows = _unstable_rows(random.Random(7), 400)
+    df = spark.createDataFrame([(1, *r, []) for r in rows], f"stream_id long, frame long, start double, end double, text string, confidence double, lines array<{LINE}>")
+    want, asked = _plain_references(rows)
+    said = {f: (" " + want[f][0] if k % 4 else "something else", (0.75, 0.9, 0.7)[k % 3]) for k, f in enumerate(sorted(want))} | {f: ("more", 0.6) for f in range(400) if f not in want}
+    second = spark.createDataFrame([(1, f, *v) for f, v in said.items()], "stream_id long, frame long, text string, confidence double")
+    given, plain = [], P.unstable_references
+    monkeypatch.setattr(P, "unstable_references", lambda rows, asked=None: given.append(asked) or plain(rows, asked))
+    got = sorted((r.frame, r.text, r.confidence) for r in P.unstable_repairs(df, second).collect())
+    assert got and got == sorted((f, *said[f]) for f in want if said[f][1] >= 0.75 and said[f][0] != "something else")
+    assert sorted(r.frame for r in given[0].collect()) == sorted(f for f in set(asked) if said[f][1] >= 0.75)
